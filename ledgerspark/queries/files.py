@@ -25,11 +25,10 @@ ROW_COLUMNS = [
 @query(with_("v_card", 'SELECT * FROM v_card'))
 def scan_csv(spark, sf):
     path = fresh_path(spark, "csv")
-    views.card(spark, sf).write.option("header", True).option("nullValue", "\\N").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+    views.card(spark, sf).write.option("header", True).option("nullValue", "\\N").option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
-    df = spark.read.csv(path, schema=readers.CARD_SCHEMA, header=True, mode="FAILFAST", nullValue="\\N", emptyValue="")
-    return df
+    return readers.read_card_csv(spark, path, nullValue="\\N")
 
 
 @query(with_("v_card", 'SELECT row_id, "Amount", "MCC" FROM v_card'))

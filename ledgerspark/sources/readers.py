@@ -37,9 +37,9 @@ RECORD_SCHEMA = T.StructType(
 )
 
 
-def read_card_csv(spark: SparkSession, path, schema: T.StructType = CARD_SCHEMA) -> DataFrame:
-    """Card rows with a header line. A path that does not exist raises."""
-    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", multiLine=False)
+def read_card_csv(spark: SparkSession, path, schema: T.StructType = CARD_SCHEMA, **options) -> DataFrame:
+    """Card rows with a header line. A missing path or a malformed row raises."""
+    return spark.read.csv(path, schema=schema, header=True, mode="FAILFAST", multiLine=False, **options)
 
 
 def read_parquet(spark: SparkSession, path, columns: list[str] | None = None) -> DataFrame:
