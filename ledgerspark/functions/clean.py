@@ -77,17 +77,17 @@ def timestamp_from_parts(y: Column, m: Column, d: Column, hhmm: Column) -> Colum
     """Time of a card row. Month and day are clipped, a missing time is midnight;
     an impossible date or a time not in ``H:M`` form gives null."""
     t = F.coalesce(hhmm, F.lit("00:00"))
-    part = lambda i: F.try_element_at(F.split(t, ":"), F.lit(i)).try_cast("int")
+    part = lambda i: F.substring_index(t, ":", i).try_cast("int")
     yr = F.coalesce(y.cast("int"), F.lit(0))
     stamp = F.try_make_timestamp_ntz(
         yr,
         clip(F.coalesce(m.cast("int"), F.lit(1)), 1, 12),
         clip(F.coalesce(d.cast("int"), F.lit(1)), 1, 31),
         part(1),
-        part(2),
+        part(-1),
         F.lit(0),
     )
-    return F.when(t.rlike(r"^\d{1,2}:\d{1,2}$") & (part(1) < 24) & (part(2) < 60) & yr.between(1000, 9999), stamp)
+    return F.when(t.rlike(r"^\d{1,2}:\d{1,2}$") & (part(1) < 24) & (part(-1) < 60) & yr.between(1000, 9999), stamp)
 
 
 def hour_of(ts: Column) -> Column:

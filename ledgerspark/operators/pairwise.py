@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import score_counts
@@ -81,11 +81,16 @@ def _cells(scores: DataFrame, prefix: str) -> DataFrame:
     )
 
 
-def _horner(coefs: list[float], s: Column) -> Column:
-    out = F.lit(coefs[-1])
-    for c in reversed(coefs[:-1]):
-        out = out * s + F.lit(c)
-    return out
+def _series() -> str:
+    """The Taylor sum of one pair of cells as SQL text over ``_s``, ``p<k>`` and ``q<k>``."""
+    terms = []
+    for m, coefs in enumerate(sigmoid_derivative_polynomials()):
+        value = repr(coefs[-1]) + "D"
+        for c in reversed(coefs[:-1]):
+            value = f"({value} * _s + {c!r}D)"
+        moment = " + ".join(f"{float(math.comb(m, j) * (-1) ** (m - j))!r}D * q{j} * p{m - j}" for j in range(m + 1))
+        terms.append(f"{value} * ({moment})")
+    return " + ".join(terms)
 
 
 def pauc_sigmoid(preds: DataFrame, fpr_max: float = 0.1, score: str = "z1", label: str = "label") -> DataFrame:
@@ -103,13 +108,7 @@ def pauc_sigmoid(preds: DataFrame, fpr_max: float = 0.1, score: str = "z1", labe
     near = pos.withColumn("q_cell", F.explode(F.sequence(F.col("p_cell") - REACH, F.col("p_cell") + REACH)))
     near = near.join(neg, "q_cell")
     s = 1.0 / (1.0 + F.exp((F.col("p_cell") - F.col("q_cell")).cast("double") * WIDTH))
-    total = F.lit(0.0)
-    for m, coefs in enumerate(sigmoid_derivative_polynomials()):
-        moment = F.lit(0.0)
-        for j in range(m + 1):
-            moment = moment + F.lit(float(math.comb(m, j) * (-1) ** (m - j))) * F.col(f"q{j}") * F.col(f"p{m - j}")
-        total = total + _horner(coefs, F.col("_s")) * moment
-    near_sum = near.withColumn("_s", s).select(total.alias("v"))
+    near_sum = near.withColumn("_s", s).select(F.expr(_series()).alias("v"))
 
     # Negatives more than REACH cells above a positive count 1, those below count 0.
     marks = neg.select(F.col("q_cell").alias("at"), F.lit(0).alias("kind"), F.col("q0").alias("q"), F.lit(0.0).alias("p")).unionByName(

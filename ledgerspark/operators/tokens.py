@@ -29,10 +29,12 @@ def fit_edges(df: DataFrame, column: str, bins: int, strategy: str = "quantile",
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.feature import VectorAssembler
 
-        data = df.where(x.isNotNull()).select(x.alias("_x"))
+        # Equal values are counted first; the iterations then run over weighted distinct values.
+        data = df.where(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_w")).persist()
         r = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
         vec = VectorAssembler(inputCols=["_x"], outputCol="features").transform(data)
-        model = KMeans(k=bins, seed=42).fit(vec)
+        model = KMeans(k=bins, seed=42, weightCol="_w").fit(vec)
+        data.unpersist()
         c = sorted(float(v[0]) for v in model.clusterCenters())
         return [r["lo"], *[(a + b) / 2 for a, b in zip(c, c[1:])], r["hi"]]
     raise ValueError(f"unknown strategy {strategy!r}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,7 +79,8 @@ def embed_sequences(
     """Add a vector per row by a batch model.
 
     ``load_model()`` runs once per task and returns ``ids[rows, steps] -> states[rows, steps,
-    dim]``. Rows stream through in Arrow batches of at most ``batch_size``; nothing is shuffled.
+    dim]``. The id arrays are padded to one length. Rows stream through as Arrow batches of at
+    most ``batch_size``, ids and vectors without per-row objects; nothing is shuffled.
     """
     keep = [f for f in df.schema.fields if f.name != ids]
     schema = T.StructType([*keep, T.StructField(name, T.ArrayType(T.FloatType()))])
@@ -86,16 +88,17 @@ def embed_sequences(
 
     def run(batches):
         model = load_model()
-        for pdf in batches:
-            for at in range(0, len(pdf), batch_size):
-                part = pdf.iloc[at : at + batch_size]
-                x = np.stack(part[ids].to_numpy()).astype(np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch_size):
+                part = whole.slice(at, batch_size)
+                n = part.num_rows
+                x = part.column(ids).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(n, -1)
                 vec = pool_states(model(x), (x != PAD).astype(np.int64), pooling).astype(np.float32)
-                out = part[names].copy()
-                out[name] = list(vec)
-                yield out
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * vec.shape[1])
+                out = pa.ListArray.from_arrays(ends, pa.array(vec.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], out], names=[*names, name])
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def embedding_metadata(df: DataFrame, name: str = "embedding", label: str | None = None) -> DataFrame:

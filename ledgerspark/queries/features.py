@@ -13,6 +13,7 @@ from ..operators.sampling import stratified_subsample
 from ..operators.split import temporal_split_date, with_date
 from ..operators.vectors import frequency_encode, pool, user_pool
 from ..plans import card, ndjson
+from ..session import materialize
 from . import views
 from .registry import query
 from .sql import CARD_OFFSETS, CARD_STEPS, CAT_CASE, DISPLAY_CASE, bucket, log_bucket, with_
@@ -22,6 +23,11 @@ def rows(spark, sf):
     return expand.expand_records(views.records(spark, sf))
 
 
+def stored_rows(spark, sf):
+    """The same, written once, for queries that read them several times."""
+    return materialize(rows(spark, sf), "transactions")
+
+
 # -- projections and filters ----------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from ..plans import card, jobs, ndjson
 from ..session import fresh_path
 from ..sources import readers, writers
 from . import views
+from .features import stored_rows
 from .registry import query
 from .sql import CARD_OFFSETS, with_
 
@@ -95,7 +96,7 @@ def sink_splits(spark, sf):
 SELECT split, row_number() OVER (ORDER BY split, user_id, chunk_id) - 1 AS line_idx, user_id, chunk_id, n_txns, label FROM nd_seq
 """))
 def sink_sidecar(spark, sf):
-    seqs, _ = jobs.ndjson_corpus(expand.expand_records(views.records(spark, sf)), 20, hash="md5")
+    seqs, _ = jobs.ndjson_corpus(stored_rows(spark, sf), 20, hash="md5")
     g = ["split", "user_id"]
     path = fresh_path(spark, "sidecar")
     writers.write_sidecar(corpus.with_line_numbers(seqs.drop("text"), g), path)
@@ -104,8 +105,8 @@ def sink_sidecar(spark, sf):
 
 @query(with_("nd_vocab", "SELECT token, global_id FROM nd_vocab"))
 def sink_vocab(spark, sf):
-    rows = expand.expand_records(views.records(spark, sf))
-    fitted = ndjson.ndjson_steps(hash="md5").fit(ndjson.preprocess_ndjson(rows, position=None))
+    fit_rows = ndjson.clean_ndjson(stored_rows(spark, sf)).withColumn("time_delta_s", F.lit(0.0))
+    fitted = ndjson.ndjson_steps(hash="md5").fit(fit_rows)
     path = fresh_path(spark, "vocab")
     fitted.save(spark, path)
     return T.Tokens.load(spark, path).vocab(spark).select("token", "global_id")
@@ -113,7 +114,7 @@ def sink_vocab(spark, sf):
 
 @query(with_("nd_all nd_all_edges", "SELECT (unnest(range(21)) )::INT AS i, round(unnest(e), 6) AS edge FROM nd_all_edges"))
 def scan_vocab(spark, sf):
-    rows = ndjson.clean_ndjson(expand.expand_records(views.records(spark, sf)))
+    rows = ndjson.clean_ndjson(stored_rows(spark, sf))
     fitted = ndjson.ndjson_steps(hash="md5", time_delta=False).fit(rows)
     path = fresh_path(spark, "vocab")
     fitted.save(spark, path)

@@ -10,7 +10,7 @@ from ..operators.pairwise import topk_negatives as hardest
 from ..operators.vectors import embedding_metadata as vector_metadata
 from ..plans import card, jobs, ndjson
 from . import views
-from .features import rows
+from .features import rows, stored_rows
 from .registry import query
 from .sql import DISPLAY_CASE, with_
 
@@ -50,7 +50,7 @@ def temporal_split_date(spark, sf):
 
 @query(with_("v_rows_split", "SELECT user_id, seq_order, split FROM v_rows_split"))
 def temporal_split_quantile(spark, sf):
-    return sp.temporal_split_quantile(rows(spark, sf))[0].select("user_id", "seq_order", "split")
+    return sp.temporal_split_quantile(stored_rows(spark, sf))[0].select("user_id", "seq_order", "split")
 
 
 @query(with_("v_card", """

@@ -11,7 +11,7 @@ from ..plans import card, jobs, ndjson
 from ..session import fresh_path
 from ..streaming.tokens import stream_tokens as token_stream
 from . import views
-from .features import rows
+from .features import rows, stored_rows
 from .registry import query
 from .sql import CARD_IDS, CARD_OFFSETS, CARD_STEPS, CARD_TOKENS, ND_ALL, log_bucket, quoted, with_
 
@@ -26,8 +26,9 @@ def nd_prepared(spark, sf):
 
 def nd_fitted(spark, sf):
     """Prepared rows and steps fitted on all of them."""
-    pre = nd_prepared(spark, sf)
-    fit_rows = ndjson.clean_ndjson(rows(spark, sf)).withColumn("time_delta_s", F.lit(0.0))
+    stored = stored_rows(spark, sf)
+    pre = ndjson.preprocess_ndjson(stored)
+    fit_rows = ndjson.clean_ndjson(stored).withColumn("time_delta_s", F.lit(0.0))
     return pre, ndjson.ndjson_steps(hash="md5").fit(fit_rows)
 
 
@@ -59,7 +60,7 @@ def tok_hash(spark, sf):
 
 @query(with_("nd_all nd_all_edges", f"SELECT user_id, seq_order, {ND_ALL[0][1]} AS token FROM nd_all"))
 def tok_bins(spark, sf):
-    c = ndjson.clean_ndjson(rows(spark, sf))
+    c = ndjson.clean_ndjson(stored_rows(spark, sf))
     t = Tokens((S.BinStep("amount", "AMT", bins=20),)).fit(c)
     return t.transform(c, keep=["user_id", "seq_order"]).withColumnRenamed("tok_AMT", "token")
 
@@ -166,7 +167,7 @@ def generate_corpus_card(spark, sf):
 
 
 def nd_seqs(spark, sf):
-    return jobs.ndjson_corpus(rows(spark, sf), 20, hash="md5")[0]
+    return jobs.ndjson_corpus(stored_rows(spark, sf), 20, hash="md5")[0]
 
 
 @query(with_("nd_seq", "SELECT split, user_id, chunk_id, n_txns, label, text FROM nd_seq"))

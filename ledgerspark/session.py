@@ -12,6 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Wide token projections compile to methods the JVM will not optimise (above 8000
+    # bytes); with this limit Spark splits them into small ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -51,7 +51,7 @@ def write_shards(df: DataFrame, path: str, shards: int, key: str, seed: int = 42
     """Training shards: every row in exactly one, by a hash of ``key`` spread over a
     fixed number of files, rows in a seeded order inside each file."""
     out = assign_shards(df, shards, key)
-    order = F.xxhash64(F.lit(seed), F.col("shard"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    order = F.xxhash64(F.lit(seed), F.col("shard"), *[F.col(f"`{c}`") for c in df.columns])
     files = max(shards, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # The second key spreads one shard over several tasks; a hot user spreads with it.
     spread = F.pmod(order, F.lit(max(1, files // shards)))
