@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import HOT_ROWS, ordered_scan
+from .ordered import HOT_ROWS, HotKeys, ordered_scan
 
 
 def nulls_last(*cols: str) -> list[Column]:
@@ -25,9 +25,10 @@ def with_gap(
     name: str = "time_delta_s",
     position: str | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Seconds since the preceding row of the key; first row, missing or negative gap: 0."""
-    out = ordered_scan(df, keys, order, position=position, previous={"_prev": seconds}, hot_rows=hot_rows)
+    out = ordered_scan(df, keys, order, position=position, previous={"_prev": seconds}, hot_rows=hot_rows, hot=hot)
     gap = F.greatest(F.coalesce(F.col(seconds) - F.col("_prev"), F.lit(0)), F.lit(0)).cast("double")
     return out.withColumn(name, gap).drop("_prev")
 

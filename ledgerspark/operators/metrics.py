@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
 from .ordered import HOT_ROWS, ordered_scan
 
 
@@ -24,7 +25,8 @@ def score_counts(preds: DataFrame, score: str = "p1", label: str = "label") -> D
 
 def cumulative_tp_fp(preds: DataFrame, score: str = "p1", label: str = "label", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per distinct score in descending order: rows, and running true and false positives."""
-    c = score_counts(preds, score, label)
+    # Stored, so that the predictions are read once however often the counts are.
+    c = materialize(score_counts(preds, score, label), "scores")
     return ordered_scan(c, [], [-F.col("score")], sums={"tp": "pos", "fp": "neg"}, hot_rows=hot_rows)
 
 
@@ -176,7 +178,7 @@ def evaluate(
         F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg"),
         F.sum(F.lit(None).cast("double") if loss is None else loss).alias("loss"),
     )
-    c = ordered_scan(c, [], [-F.col("score")], sums={"_tp": "pos", "_fp": "neg"})
+    c = ordered_scan(materialize(c, "scores"), [], [-F.col("score")], sums={"_tp": "pos", "_fp": "neg"})
     pos, neg, tp, fp = (F.col(x).cast("double") for x in ("pos", "neg", "_tp", "_fp"))
     hit = F.col("score") >= at
     agg = c.agg(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
 from .metrics import model_comparison, ranking_metrics
 from .ordered import HOT_ROWS
 from .steps import COLLECT_LABELS
@@ -24,11 +25,8 @@ def ordinal_encode(df: DataFrame, features: list[str], train: str = "train", hot
     rest = [f for f in features if f not in text]
     if text:
         cats = fit_categories(df.where(F.col("split") == train), text, default=None, hot_rows=hot_rows)
-        cats = cats.persist()
-        try:
-            sizes = {r["column"]: r["n"] for r in cats.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-        finally:
-            cats.unpersist()
+        cats = materialize(cats, "categories")
+        sizes = {r["column"]: r["n"] for r in cats.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
         for f in text:
             one = cats.where(F.col("column") == f).select(F.col("label").alias("_v"), F.col("local_idx").alias("_i"))
             if sizes.get(f, 0) <= COLLECT_LABELS:

@@ -37,6 +37,10 @@ class HotKeys:
         return bool(self.rows)
 
 
+# For rows already limited to a fixed number per key.
+NO_HOT_KEYS = HotKeys([], T.StructType([]))
+
+
 def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotKeys:
     """One aggregate over the key columns only; partial counts are combined map-side."""
     counts = (

@@ -15,6 +15,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .metrics import score_counts
 from .ordered import HOT_ROWS, ordered_scan
 
@@ -27,27 +28,40 @@ def hard_negative_count(n_neg: int, fpr_max: float) -> int:
     return max(1, int(fpr_max * n_neg))
 
 
-def topk_negatives(preds: DataFrame, k: int, score: str = "z1", label: str = "label", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The ``k`` highest negative scores as (score, n): running counts over the distinct
-    scores say how many rows of each are taken, so ``k`` may be any share of the data."""
-    c = score_counts(preds, score, label).where(F.col("neg") > 0)
+def stored_scores(preds: DataFrame, score: str, label: str) -> DataFrame:
+    """Counts per distinct score, written once: the predictions are read a single time."""
+    return materialize(score_counts(preds, score, label), "scores")
+
+
+def _top(counts: DataFrame, k: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    c = counts.where(F.col("neg") > 0)
     c = ordered_scan(c, [], [-F.col("score")], sums={"_cum": "neg"}, hot_rows=hot_rows)
     before = F.col("_cum") - F.col("neg")
     return c.where(before < k).select("score", F.least(F.col("neg"), F.lit(k) - before).alias("n"))
 
 
-def _class_sizes(preds: DataFrame, label: str) -> tuple[int, int]:
-    r = preds.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    return r["p"], r["n"]
+def topk_negatives(preds: DataFrame, k: int, score: str = "z1", label: str = "label", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The ``k`` highest negative scores as (score, n): running counts over the distinct
+    scores say how many rows of each are taken, so ``k`` may be any share of the data."""
+    return _top(stored_scores(preds, score, label), k, hot_rows)
+
+
+def _class_sizes(counts: DataFrame) -> tuple[int, int]:
+    r = counts.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
+    return r["p"] or 0, r["n"] or 0
+
+
+def _positives(counts: DataFrame) -> DataFrame:
+    return counts.where("pos > 0").select("score", F.col("pos").alias("n"))
 
 
 def pair_summary(preds: DataFrame, fpr_max: float = 0.1, score: str = "z1", label: str = "label") -> DataFrame:
     """Counts, mean and range of the margin (positive minus negative score) over all pairs
     of a positive with one of the hardest negatives."""
-    p, n = _class_sizes(preds, label)
+    counts = stored_scores(preds, score, label)
+    _, n = _class_sizes(counts)
     k = hard_negative_count(n, fpr_max) if n else 0
-    pos = score_counts(preds, score, label).where("pos > 0").select("score", F.col("pos").alias("n"), F.lit(1).alias("y"))
-    both = pos.unionByName(topk_negatives(preds, k, score, label).withColumn("y", F.lit(0)))
+    both = _positives(counts).withColumn("y", F.lit(1)).unionByName(_top(counts, k).withColumn("y", F.lit(0)))
     s, w = F.col("score"), F.col("n")
     part = lambda y, e: F.when(F.col("y") == y, e)
     agg = both.agg(
@@ -98,12 +112,12 @@ def pauc_sigmoid(preds: DataFrame, fpr_max: float = 0.1, score: str = "z1", labe
     hardest ``fpr_max`` share of negatives; 0 when one class is missing."""
     if not 0 <= fpr_max <= 1:
         raise ValueError(f"fpr_max got {fpr_max}")
-    n_pos, n_neg = _class_sizes(preds, label)
+    counts = stored_scores(preds, score, label)
+    n_pos, n_neg = _class_sizes(counts)
     if not n_pos or not n_neg:
-        return preds.agg(F.lit(0.0).alias("loss"))
+        return counts.agg(F.lit(0.0).alias("loss"))
     k = hard_negative_count(n_neg, fpr_max)
-    pos = _cells(score_counts(preds, score, label).where("pos > 0").select("score", F.col("pos").alias("n")), "p")
-    neg = _cells(topk_negatives(preds, k, score, label), "q")
+    pos, neg = _cells(_positives(counts), "p"), _cells(_top(counts, k), "q")
 
     near = pos.withColumn("q_cell", F.explode(F.sequence(F.col("p_cell") - REACH, F.col("p_cell") + REACH)))
     near = near.join(neg, "q_cell")

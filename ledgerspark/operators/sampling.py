@@ -9,10 +9,14 @@ the whole class. No class is ever sorted in one task, whatever its size.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 SLICE_DIGITS = 4
 
 
@@ -24,51 +28,60 @@ def _slice(key: Column) -> Column:
     return F.conv(F.substring(key, 1, SLICE_DIGITS), 16, 10).cast("int")
 
 
-def take_exact(df: DataFrame, quotas: DataFrame, stratum: str, ids: list[str], seed: int = 42) -> DataFrame:
-    """``quotas(stratum, quota)`` rows of every stratum, the first in seeded order.
+def take_exact(
+    df: DataFrame, quotas: Callable[[DataFrame], DataFrame], stratum: Column, ids: list[str], seed: int = 42
+) -> DataFrame:
+    """A wanted number of rows of every stratum, the first in seeded order.
 
-    ``quotas`` has one row per class. The last key to take is looked up per class, so the
-    rows themselves are only filtered, never sorted or shuffled.
+    ``quotas`` turns the row counts (``stratum``, ``n``), one row per class, into
+    (``stratum``, ``quota``). Three passes: slices are counted once and stored, the last
+    key to take is looked up per class, and then the rows are only filtered: they are
+    never sorted or shuffled.
     """
     key = shuffle_key(seed, *ids)
-    slim = df.select(F.col(stratum).alias("_s"), key.alias("_key")).withColumn("_slice", _slice(F.col("_key")))
-    sizes = slim.groupBy("_s", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy("_s").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    q = quotas.where(F.col("quota") > 0).select(F.col(stratum).alias("_q"), "quota")
+    slim = df.select(stratum.alias("stratum"), key.alias("_key")).withColumn("_slice", _slice(F.col("_key")))
+    # Classes times 65,536 slices at most.
+    sizes = materialize(slim.groupBy("stratum", "_slice").agg(F.count(F.lit(1)).alias("n")), "slices")
+    q = quotas(sizes.groupBy("stratum").agg(F.sum("n").alias("n"))).where(F.col("quota") > 0)
+    q = q.select(F.col("stratum").alias("_q"), "quota")
+    w = Window.partitionBy("stratum").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     edges = (
-        sizes.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-        .join(q, F.col("_s").eqNullSafe(F.col("_q")))
-        .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_n")))
-        .select(F.col("_s").alias("_es"), F.col("_slice").alias("_eslice"), (F.col("quota") - F.col("_before")).alias("_need"))
+        sizes.withColumn("_before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+        .join(q, F.col("stratum").eqNullSafe(F.col("_q")))
+        .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("n")))
+        .select(F.col("stratum").alias("_es"), F.col("_slice").alias("_eslice"), (F.col("quota") - F.col("_before")).alias("_need"))
     )
-    straddling = slim.join(edges, F.col("_s").eqNullSafe(F.col("_es")) & (F.col("_slice") == F.col("_eslice")))
-    rank = F.row_number().over(Window.partitionBy("_s", "_slice").orderBy("_key"))
+    straddling = slim.join(edges, F.col("stratum").eqNullSafe(F.col("_es")) & (F.col("_slice") == F.col("_eslice")))
+    rank = F.row_number().over(Window.partitionBy("stratum", "_slice").orderBy("_key"))
     last = (
         straddling.withColumn("_rank", rank)
         .where(F.col("_rank") == F.col("_need"))
-        .select(F.col("_s").alias("_ls"), F.col("_key").alias("_cut"))
+        .select(F.col("stratum").alias("_ls"), F.col("_key").alias("_cut"))
     )
-    # One row per class; a class asked for in full has no cut.
-    cuts = q.join(last, F.col("_q").eqNullSafe(F.col("_ls")), "left").select("_q", "_cut")
-    kept = df.withColumn("_key", key).join(cuts, F.col(stratum).eqNullSafe(F.col("_q")))
-    kept = kept.where(F.col("_cut").isNull() | (F.col("_key") <= F.col("_cut")))
-    return kept.drop("_key", "_q", "_cut")
+    # One row per class; a class without rows to take is absent.
+    cuts = q.join(last, F.col("_q").eqNullSafe(F.col("_ls"))).select("_q", "_cut")
+    kept = df.withColumn("_key", key).withColumn("_stratum", stratum)
+    kept = kept.join(cuts, F.col("_stratum").eqNullSafe(F.col("_q"))).where(F.col("_key") <= F.col("_cut"))
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def _class_counts(df: DataFrame, label: str) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def balanced_quotas(total: int, ratio: float) -> Callable[[DataFrame], DataFrame]:
+    """Positives ``min(P, int(total*ratio))``, negatives ``min(N, total - positives)``."""
 
+    def of(counts: DataFrame) -> DataFrame:
+        one = counts.agg(
+            F.coalesce(F.sum(F.when(F.col("stratum") == 1, F.col("n"))), F.lit(0)).alias("p"),
+            F.coalesce(F.sum(F.when(F.col("stratum") == 0, F.col("n"))), F.lit(0)).alias("n"),
+        )
+        n_pos = F.least(F.col("p"), F.lit(int(total * ratio)))
+        pair = F.array(
+            F.struct(F.lit(1).alias("v"), n_pos.alias("q")),
+            F.struct(F.lit(0).alias("v"), F.least(F.col("n"), F.lit(total) - n_pos).alias("q")),
+        )
+        rows = one.select(F.explode(pair).alias("x"))
+        return rows.select(F.col("x.v").cast(counts.schema["stratum"].dataType).alias("stratum"), F.col("x.q").alias("quota"))
 
-def balanced_quotas(df: DataFrame, label: str, total: int, ratio: float) -> DataFrame:
-    """Positives ``min(P, int(total*ratio))``, negatives ``min(N, total - positives)``."""
-    one = df.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n"))
-    n_pos = F.least(F.col("p"), F.lit(int(total * ratio)))
-    pair = F.array(
-        F.struct(F.lit(1).alias("v"), n_pos.alias("q")),
-        F.struct(F.lit(0).alias("v"), F.least(F.col("n"), F.lit(total) - n_pos).alias("q")),
-    )
-    rows = one.select(F.explode(pair).alias("x"))
-    return rows.select(F.col("x.v").cast(df.schema[label].dataType).alias(label), F.col("x.q").alias("quota"))
+    return of
 
 
 def balanced_sample(
@@ -77,49 +90,47 @@ def balanced_sample(
 ) -> DataFrame:
     """Features, label and row key of a class-balanced sample without replacement."""
     ids = list(ids)
-    picked = take_exact(df, balanced_quotas(df, label, total, ratio), label, ids, seed)
+    picked = take_exact(df, balanced_quotas(total, ratio), F.col(label), ids, seed)
     if columns is None:
         return picked
     keep = list(dict.fromkeys([*ids, label, *columns]))
     return picked.select(*[F.col(f"`{c}`") for c in keep])
 
 
-def stratified_quotas(df: DataFrame, label: str, n: int) -> DataFrame:
-    """Largest-remainder share of ``n`` per class; a table of one row per class."""
-    counts = _class_counts(df, label)
-    every = Window.partitionBy()
-    total = F.sum("n").over(every)
-    c = counts.withColumn("_total", total).withColumn("_want", F.least(F.lit(n), F.col("_total")))
-    # Integer arithmetic: floor and remainder of n_class * want / total.
-    share = F.col("n").cast("decimal(38,0)") * F.col("_want")
-    c = c.withColumn("_floor", F.floor(share / F.col("_total")).cast("bigint"))
-    c = c.withColumn("_rest", (share - F.col("_floor") * F.col("_total")).cast("decimal(38,0)"))
-    c = c.withColumn("_left", F.col("_want") - F.sum("_floor").over(every))
-    rank = F.row_number().over(every.orderBy(F.desc("_rest"), F.col(label)))
-    return c.select(label, (F.col("_floor") + F.when(rank <= F.col("_left"), 1).otherwise(0)).alias("quota"))
+def stratified_quotas(n: int, within: Column | None = None) -> Callable[[DataFrame], DataFrame]:
+    """Largest-remainder share of ``n`` per class, of ``n`` for each value of ``within``."""
+
+    def of(counts: DataFrame) -> DataFrame:
+        every = Window.partitionBy(*([within] if within is not None else []))
+        c = counts.withColumn("_total", F.sum("n").over(every)).withColumn("_want", F.least(F.lit(n), F.col("_total")))
+        # Integer arithmetic: floor and remainder of n_class * want / total.
+        share = F.col("n").cast("decimal(38,0)") * F.col("_want")
+        c = c.withColumn("_floor", F.floor(share / F.col("_total")).cast("bigint"))
+        c = c.withColumn("_rest", (share - F.col("_floor") * F.col("_total")).cast("decimal(38,0)"))
+        c = c.withColumn("_left", F.col("_want") - F.sum("_floor").over(every))
+        rank = F.row_number().over(every.orderBy(F.desc("_rest"), F.col("stratum")))
+        return c.select("stratum", (F.col("_floor") + F.when(rank <= F.col("_left"), 1).otherwise(0)).alias("quota"))
+
+    return of
 
 
 def stratified_subsample(df: DataFrame, label: str, n: int, ids: list[str] = ("row_id",), seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows in the class proportions of ``df``; all of it if it has no more."""
-    return take_exact(df, stratified_quotas(df, label, n), label, list(ids), seed)
+    return take_exact(df, stratified_quotas(n), F.col(label), list(ids), seed)
 
 
 def eval_subsets(df: DataFrame, label: str, n: int = 100_000, ids: list[str] = ("row_id",), seed: int = 42) -> DataFrame:
-    """Stratified picks of the val and test splits in one pass, with their raw columns."""
+    """Stratified picks of ``n`` rows each from the val and test splits, raw columns kept;
+    both splits share the same passes."""
     held = df.where(F.col("split").isin("val", "test"))
-    parts = []
-    for split in ("val", "test"):
-        part = held.where(F.col("split") == split)
-        keys = stratified_subsample(part.select(label, *ids), label, n, ids, seed).select(*ids)
-        parts.append(part.join(keys, list(ids), "left_semi"))
-    return parts[0].unionByName(parts[1])
+    stratum = F.struct(F.col("split").alias("split"), F.col(label).alias("y"))
+    return take_exact(held, stratified_quotas(n, F.col("stratum.split")), stratum, list(ids), seed)
 
 
 def uniform_subset(df: DataFrame, n: int, ids: list[str] = ("row_id",), seed: int = 42) -> DataFrame:
     """``n`` rows without replacement."""
-    one = df.withColumn("_all", F.lit(0))
-    quota = df.sparkSession.range(1).select(F.lit(0).alias("_all"), F.lit(n).cast("bigint").alias("quota"))
-    return take_exact(one, quota, "_all", list(ids), seed).drop("_all")
+    everything = lambda counts: counts.select("stratum", F.least(F.lit(n), F.col("n")).alias("quota"))
+    return take_exact(df, everything, F.lit(0), list(ids), seed)
 
 
 def seeded_shuffle(df: DataFrame, ids: list[str] = ("row_id",), seed: int = 42, name: str = "place") -> DataFrame:

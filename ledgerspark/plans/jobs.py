@@ -11,7 +11,8 @@ from ..operators import corpus, sampling
 from ..operators.align import align, extract_label
 from ..operators.expand import expand_records
 from ..operators.ml import three_model_comparison
-from ..operators.ordered import HOT_ROWS
+from ..operators.history import last_n, with_gap
+from ..operators.ordered import HOT_ROWS, NO_HOT_KEYS
 from ..operators.split import temporal_split_date, temporal_split_quantile
 from ..operators.tokens import Tokens
 from ..operators.vectors import embed_sequences, one_hot_states
@@ -64,6 +65,26 @@ def ndjson_corpus(
     return corpus.to_sequences(rows, keys, [], chunk_size, label="label", position="pos"), tokens
 
 
+def ndjson_samples(
+    txns: DataFrame, tokens: Tokens, window: int = 512, max_txn_len: int = 32, min_length: int = 1, zero_delta: bool = False
+) -> DataFrame:
+    """Expanded transactions to one training sample per user.
+
+    The gap of the oldest row kept needs one row more, so ``window + 1`` rows per user are
+    kept before the shuffle; gaps, the final cut and the packing then share that shuffle,
+    and no task holds more than ``window + 1`` rows of a user from each of its inputs.
+    """
+    if min_length > 1:
+        enough = txns.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_length)
+        txns = txns.join(enough.select("user_id"), "user_id", "left_semi")
+    latest = last_n(ndjson.clean_ndjson(txns), ["user_id"], ndjson.history_order(), window + 1)
+    if zero_delta:
+        rows = latest.withColumn("time_delta_s", F.lit(0.0))
+    else:
+        rows = with_gap(latest, ["user_id"], ndjson.history_order(), "unix_ts", hot=NO_HOT_KEYS)
+    return corpus.sft_samples(rows, tokens, max_txn_len=max_txn_len, window=window)
+
+
 def run_card_job(spark: SparkSession, csv_path, out: str, force: bool = False, **kw) -> dict[str, DataFrame]:
     """CSV to split table, corpus table, text lines and corpus statistics under ``out``."""
 

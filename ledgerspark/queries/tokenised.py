@@ -24,16 +24,22 @@ def nd_prepared(spark, sf):
     return ndjson.preprocess_ndjson(rows(spark, sf))
 
 
-def nd_fitted(spark, sf):
-    """Prepared rows and steps fitted on all of them."""
+def nd_stored(spark, sf):
+    """Stored transactions and steps fitted on all of them."""
     stored = stored_rows(spark, sf)
-    pre = ndjson.preprocess_ndjson(stored)
     fit_rows = ndjson.clean_ndjson(stored).withColumn("time_delta_s", F.lit(0.0))
-    return pre, ndjson.ndjson_steps(hash="md5").fit(fit_rows)
+    return stored, ndjson.ndjson_steps(hash="md5").fit(fit_rows)
+
+
+def nd_fitted(spark, sf):
+    """Prepared rows and the fitted steps."""
+    stored, t = nd_stored(spark, sf)
+    return ndjson.preprocess_ndjson(stored), t
 
 
 def joined(col):
-    return F.array_join(F.transform(col, lambda x: x.cast("string")), " ")
+    c = F.col(col) if isinstance(col, str) else col
+    return F.array_join(c.cast("array<string>"), " ")
 
 
 # -- single steps ---------------------------------------------------------------------------
@@ -265,8 +271,8 @@ def nested(col):
 
 @query(with_("nd_ids", SAMPLES.format(n=40) + "SELECT user_id, lens_in, label, amount, ids, times, hours FROM u"))
 def sft_samples(spark, sf):
-    pre, t = nd_fitted(spark, sf)
-    s = corpus.sft_samples(pre, t, window=40)
+    stored, t = nd_stored(spark, sf)
+    s = jobs.ndjson_samples(stored, t, 40)
     return s.select(
         "user_id", "lens_in", "label", "amount", nested("input_ids").alias("ids"), joined("his_time_stap").alias("times"),
         joined("delta_time_stap").alias("hours"),
@@ -278,8 +284,8 @@ SELECT user_id, lens_in, label, amount, ids || repeat('|' || array_to_string(lis
   array_to_string(list_transform(range(90), lambda i: (i < lens_in)::INT), ' ') AS step_mask, hours || repeat(' 0', 90 - lens_in) AS hours FROM u
 """))
 def pad_history(spark, sf):
-    pre, t = nd_fitted(spark, sf)
-    p = corpus.pad_history(corpus.sft_samples(pre, t, window=90), 90)
+    stored, t = nd_stored(spark, sf)
+    p = corpus.pad_history(jobs.ndjson_samples(stored, t, 90), 90)
     return p.select(
         "user_id", "lens_in", "label", "amount", nested("input_ids").alias("ids"), joined("step_mask").alias("step_mask"),
         joined("delta_time_stap").alias("hours"),
