@@ -223,14 +223,25 @@ class Tokens:
         return df2.select(*[F.col(f"`{c}`") for c in kept], arr.alias(name), ones.alias(mask))
 
     # -- free text -----------------------------------------------------------------
+    def _listed(self) -> list[S.Step]:
+        return [s for s in self.steps if getattr(s, "table", None) is None]
+
+    def _tabled(self, spark: SparkSession) -> DataFrame:
+        """(token, global_id) of the steps whose labels stay a table."""
+        out = None
+        for s in self.steps:
+            if getattr(s, "table", None) is not None:
+                rows = s.vocab(spark).select("token", (F.col("local_idx") + F.lit(self.offsets[s.name])).alias("global_id"))
+                out = rows if out is None else out.unionByName(rows)
+        return out
+
     def id_of_token(self, token: Column) -> Column:
-        """Id of a token text by rule: prefix, then number or label. ``<unk>`` if unknown."""
+        """Id of a token text by rule: prefix, then number or label. ``<unk>`` if unknown,
+        also for labels that are kept in a table."""
         off = self.offsets
         out = F.lit(None).cast("int")
         # Prefixes may extend one another (MERCH, MERCH_NAME): the longest is tried first.
-        for s in sorted(self.steps, key=lambda s: len(s.prefix)):
-            if isinstance(s, S.MapStep) and s.table is not None:
-                raise ValueError(f"step {s.name} has too many labels for rule lookup; join vocab() instead")
+        for s in sorted(self._listed(), key=lambda s: len(s.prefix)):
             suffix = F.substring(token, F.lit(len(s.prefix) + 2), F.length(token))
             hit = F.when(F.startswith(token, F.lit(s.prefix + "_")), s.index_of(suffix) + F.lit(off[s.name]))
             out = F.coalesce(hit.cast("int"), out)
@@ -238,32 +249,59 @@ class Tokens:
         return F.when(special > 0, (special - 1).cast("int")).otherwise(F.coalesce(out, F.lit(UNK)))
 
     def token_of_id(self, i: Column) -> Column:
-        """Token of an id, null if there is none."""
+        """Token of an id, null if there is none or its label is kept in a table."""
         off = self.offsets
         out = F.when(i.between(0, len(SPECIAL_TOKENS) - 1), F.try_element_at(F.lit(SPECIAL_TOKENS), i + 1))
-        for s in self.steps:
+        for s in self._listed():
             lo = off[s.name]
             out = out.when(i.between(lo, lo + s.size - 1), s.token_at(i - F.lit(lo)))
         return out
 
+    @staticmethod
+    def _by_join(df, items: Column, by_rule, table: DataFrame, on: str, value: str, keys, name: str) -> DataFrame:
+        """``items`` mapped entry by entry: by rule, or by a shuffled join with a label table
+        too long to list. ``keys`` identify a row, so its entries come together again."""
+        if not keys:
+            raise ValueError("some labels are kept in a table: name the key columns of the rows")
+        rest = [c for c in df.columns if c not in keys]
+        w = df.select(*keys, F.struct(*rest).alias("_rest"), F.posexplode_outer(items).alias("_pos", "_x"))
+        t = table.select(F.col(on).alias("_on"), F.col(value).alias("_value"))
+        w = w.join(t, F.col("_x") == F.col("_on"), "left")
+        found = F.coalesce(F.col("_value"), by_rule(F.col("_x")))
+        entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", found.alias("v")))
+        back = w.groupBy(*keys).agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_list(entry)).alias("_e"))
+        return back.select(*keys, "_rest.*", F.transform("_e", lambda e: e["v"]).alias(name)) if rest else back.select(
+            *keys, F.transform("_e", lambda e: e["v"]).alias(name)
+        )
+
     def encode_text(
-        self, df: DataFrame, text: str = "text", max_length: int | None = None, name: str = "input_ids"
+        self, df: DataFrame, text: str = "text", max_length: int | None = None, name: str = "input_ids", keys: list[str] = ()
     ) -> DataFrame:
         """Ids of a token text, cut and padded to ``max_length`` if one is given. Works
-        inside the row: nothing is exploded or shuffled."""
+        inside the row: nothing is exploded or shuffled, unless a step has more labels than
+        can be listed; then ``keys`` must identify the rows."""
         self._need_fit()
         words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
         if max_length:
             words = F.slice(words, 1, max_length)
-        ids = F.transform(words, self.id_of_token)
+        table = self._tabled(df.sparkSession)
+        if table is None:
+            out = df.withColumn(name, F.transform(words, self.id_of_token))
+        else:
+            out = self._by_join(df, words, self.id_of_token, table, "token", "global_id", list(keys), name)
         if max_length:
-            ids = F.concat(ids, F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size(words)))
-        return df.withColumn(name, ids)
+            out = out.withColumn(name, F.concat(name, F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size(name))))
+        return out
 
-    def decode_ids(self, df: DataFrame, ids: str = "input_ids", name: str = "text") -> DataFrame:
+    def decode_ids(self, df: DataFrame, ids: str = "input_ids", name: str = "text", keys: list[str] = ()) -> DataFrame:
         """Tokens of an id array; padding and unknown ids are left out."""
-        kept = F.filter(F.transform(ids, self.token_of_id), lambda t: t.isNotNull() & (t != SPECIAL_TOKENS[PAD]))
-        return df.withColumn(name, F.array_join(kept, " "))
+        table = self._tabled(df.sparkSession)
+        if table is None:
+            out = df.withColumn(name, F.transform(ids, self.token_of_id))
+        else:
+            out = self._by_join(df, F.col(ids), self.token_of_id, table, "global_id", "token", list(keys), name)
+        kept = F.filter(name, lambda t: t.isNotNull() & (t != SPECIAL_TOKENS[PAD]))
+        return out.withColumn(name, F.array_join(kept, " "))
 
     # -- saving ------------------------------------------------------------------------
     def save(self, spark: SparkSession, path: str, mode: str = "overwrite") -> None:

@@ -101,8 +101,10 @@ def run_card_job(spark: SparkSession, csv_path, out: str, force: bool = False, *
 def run_ndjson_job(spark: SparkSession, path, out: str, force: bool = False, **kw) -> dict:
     """Nested records to a transaction table (the only pass over the JSON), corpus, sidecar,
     saved vocabulary and statistics under ``out``."""
+    # The id is written with the row, so it stays the same for all later readers.
     txns = writers.stage(
-        spark, f"{out}/transactions", lambda: expand_records(readers.read_records(spark, path)), force
+        spark, f"{out}/transactions",
+        lambda: expand_records(readers.read_records(spark, path)).withColumn("row_id", F.monotonically_increasing_id()), force,
     )
     vocab = f"{out}/vocab"
     known = Tokens.load(spark, vocab) if writers.exists(spark, vocab) and not force else None

@@ -60,9 +60,12 @@ def clean_ndjson(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def history_order():
-    """Arrival order; time and content settle equal places of a user with several records."""
-    return [F.col("seq_order"), F.col("unix_ts"), F.col("merch_name"), F.col("amount")]
+def history_order(df: DataFrame | None = None):
+    """Arrival order; time and content settle equal places of a user with several records,
+    and a stored ``row_id`` tells exact copies apart, so that any number of them can be cut
+    into parts."""
+    extra = [F.col("row_id")] if df is not None and "row_id" in df.columns else []
+    return [F.col("seq_order"), F.col("unix_ts"), F.col("merch_name"), F.col("amount"), *extra]
 
 
 def preprocess_ndjson(
@@ -73,4 +76,4 @@ def preprocess_ndjson(
     c = clean_ndjson(df)
     if zero_delta:
         return c.withColumn("time_delta_s", F.lit(0.0))
-    return with_gap(c, list(keys), history_order(), "unix_ts", position=position, hot_rows=hot_rows)
+    return with_gap(c, list(keys), history_order(c), "unix_ts", position=position, hot_rows=hot_rows)

@@ -102,6 +102,17 @@ def test_long_label_lists_give_the_same_ids(spark, monkeypatch, tmp_path, litera
         for r in both:
             assert r["tok_C"] == (f"C_{r['c']}" if r["c"] else "C_UNK")
             assert r["input_ids"] == [1, vocab[r["tok_C"]], vocab[r["tok_I"]], 2, 0, 0]
+        lines = spark.createDataFrame(
+            [(1, "<bos> C_v3 I_7 <sep> C_v0 C_UNK C_zz I_99 <eos>", "x"), (2, "C_v3", "y"), (3, "  ", "z")], "k int, text string, other string"
+        )
+        want = {1: [1, vocab["C_v3"], vocab["I_7"], 3, vocab["C_v0"], vocab["C_UNK"], 4, 4, 2, 0], 2: [vocab["C_v3"], *[0] * 9], 3: [0] * 10}
+        e = x.encode_text(lines, max_length=10, keys=["k"])
+        assert {r["k"]: r["input_ids"] for r in e.collect()} == want and {r["other"] for r in e.collect()} == {"x", "y", "z"}
+        text = {r["k"]: r["text"] for r in x.decode_ids(e.drop("text"), keys=["k"]).collect()}
+        assert text == {1: "<bos> C_v3 I_7 <sep> C_v0 C_UNK <unk> <unk> <eos>", 2: "C_v3", 3: ""}
+        if collect == 4:
+            with pytest.raises(ValueError, match="key columns"):
+                x.encode_text(lines)
 
 
 def test_errors(spark, pre):
@@ -183,6 +194,14 @@ def test_sequences_of_a_large_key_are_the_same(spark):
     assert a == b
 
 
+def test_copies_of_a_record_are_cut_into_parts(spark, flat):
+    copies = flat.where("seq_order < 2").crossJoin(spark.range(60)).withColumn("row_id", F.monotonically_increasing_id())
+    a, b = (
+        sorted((r["pos"], r["time_delta_s"]) for r in ndjson.preprocess_ndjson(copies, hot_rows=h).collect()) for h in (25, 10**6)
+    )
+    assert a == b and [p for p, _ in a] == list(range(120)) and sum(d for _, d in a) == 3600.0
+
+
 def test_group_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "cust int, Card int, x int")
     assert corpus.group_columns(df) == ["cust", "Card"]
