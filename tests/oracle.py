@@ -21,9 +21,9 @@ def norm(v):
     if isinstance(v, bool):
         return ("b", v)
     if isinstance(v, int):
-        return ("n", float(v))
+        return ("n", str(v))
     if isinstance(v, float):
-        return ("n", "nan" if math.isnan(v) else round(v, 9) + 0.0)
+        return ("f", "nan" if math.isnan(v) else repr(v))
     if isinstance(v, datetime.datetime):
         return ("t", v.replace(tzinfo=None).isoformat())
     if v is None:
