@@ -78,12 +78,12 @@ def tok_timedelta(spark, sf):
 
 
 @query(with_("card_pre", """
-SELECT row_id, "user", card, round(amt_num, 2) AS amt_num, merch_hash::INT AS merch_hash, mcc_int, hour::INT AS hour, dow::INT AS dow, month::INT AS month,
+SELECT row_id, "user", card, amt_num, merch_hash::INT AS merch_hash, mcc_int, hour::INT AS hour, dow::INT AS dow, month::INT AS month,
   chip_upper, zip3, state_clean, cust::INT AS cust, time_delta_s, pos FROM card_pre
 """))
 def preprocess_card(spark, sf):
     return prepared(spark, sf).select(
-        "row_id", "user", "card", F.round("amt_num", 2).alias("amt_num"), "merch_hash", "mcc_int", "hour", "dow", "month", "chip_upper",
+        "row_id", "user", "card", "amt_num", "merch_hash", "mcc_int", "hour", "dow", "month", "chip_upper",
         "zip3", "state_clean", "cust", "time_delta_s", "pos",
     )
 

@@ -88,8 +88,10 @@ def test_gap(skewed, hot_rows):
 
 
 def test_last_n_limits_before_the_shuffle(skewed):
+    for n in (3, 5000):
+        got = history.last_n(skewed, ["user"], [F.col("ts"), F.col("row_id")], n)
+        assert got._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
     got = history.last_n(skewed, ["user"], [F.col("ts"), F.col("row_id")], 3)
-    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
     assert got.where("user = 1").count() == 3
 
 
