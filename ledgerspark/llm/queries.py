@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import token_counts, token_files
+from . import chat_tree, decontaminate, pfair, token_counts, token_files
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+CHAT_TOKENIZER = "byte_bpe_50k.json"
 
 
 @query()
@@ -24,3 +25,30 @@ def op9_token_files(spark, sf):
     path = fresh_path(spark, "tokens")
     token_files.write_tokens(table(spark, sf, "documents"), path, tokenizer_path(TOKENIZER))
     return token_files.read_tokens(spark, path)
+
+
+@query()
+def op8_decontaminate(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    marked = decontaminate.mark(docs, table(spark, sf, "benchmark"), keep_text=False)
+    return marked.select(
+        "doc_id", F.col(decontaminate.WORDS).alias("n_words"), decontaminate.n_hit().alias("n_hit"),
+        F.size(decontaminate.ITEMS).cast("long").alias("n_items"), F.sha2(F.array_join(decontaminate.ITEMS, ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"),
+    )
+
+
+@query()
+def op7_mix_sources(spark, sf):
+    plan = pfair.schedule(table(spark, sf, "documents"))
+    return plan.select("doc_id", "source", "n_rows", "n_bytes", "block", "release", "deadline", "slot")
+
+
+@query()
+def op10_chat_tree(spark, sf):
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    said = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    path = fresh_path(spark, "chat")
+    chat_tree.write_tree(rows.unionByName(extra), path, tokenizer_path(CHAT_TOKENIZER), conv="conv_id")
+    return chat_tree.read_tree(spark, path)
