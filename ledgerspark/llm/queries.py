@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat_tree, decontaminate, pfair, token_counts, token_files
+from . import chat_tree, decontaminate, pfair, quality, token_counts, token_files
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -52,3 +52,9 @@ def op10_chat_tree(spark, sf):
     path = fresh_path(spark, "chat")
     chat_tree.write_tree(rows.unionByName(extra), path, tokenizer_path(CHAT_TOKENIZER), conv="conv_id")
     return chat_tree.read_tree(spark, path)
+
+
+@query()
+def op1_quality(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
