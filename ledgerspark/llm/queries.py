@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat_tree, decontaminate, pfair, quality, token_counts, token_files
+from . import chat_tree, decontaminate, pfair, probminhash, quality, token_counts, token_files
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -58,3 +58,8 @@ def op10_chat_tree(spark, sf):
 def op1_quality(spark, sf):
     docs = table(spark, sf, "documents")
     return quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
+
+
+@query()
+def op5_near_duplicates(spark, sf):
+    return probminhash.near_duplicates(table(spark, sf, "documents"))
