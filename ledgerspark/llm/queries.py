@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from . import chat_tree, decontaminate, pfair, probminhash, quality, token_counts, token_files
+from . import chat_tree, decontaminate, pfair, probminhash, quality, substrings, token_counts, token_files
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -63,3 +63,9 @@ def op1_quality(spark, sf):
 @query()
 def op5_near_duplicates(spark, sf):
     return probminhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op4_suffix_arrays(spark, sf):
+    out = substrings.remove_repeated(table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
