@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
-from . import chat_tree, decontaminate, pfair, probminhash, quality, substrings, token_counts, token_files
+from ..session import fresh_path, materialize
+from . import chat_tree, chunks, decontaminate, pfair, probminhash, quality, substrings, token_counts, token_files, voronoi
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -69,3 +69,23 @@ def op5_near_duplicates(spark, sf):
 def op4_suffix_arrays(spark, sf):
     out = substrings.remove_repeated(table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query(sql="""
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""")
+def op2_voronoi_join(spark, sf):
+    vectors = materialize(voronoi.whole_vectors(table(spark, sf, "embeddings")), "vectors")
+    return voronoi.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@query()
+def op3_chunk_dedup(spark, sf):
+    return chunks.remove_repeated_chunks(table(spark, sf, "documents"))
