@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BOS, CARD_CHUNK, CARD_COLUMNS, EOS, PAD, SEP, SPECIAL_TOKENS, USER_COLUMNS
 from .history import chunk_of
-from .ordered import HOT_ROWS, global_rank, ordered_scan
+from .ordered import HOT_ROWS, ordered_scan
 from .tokens import Tokens
 
 
@@ -44,13 +44,15 @@ def to_sequences(
         F.concat(F.lit(bos + " "), joined, F.lit(" " + eos)).alias("text"),
     ]
     if label:
-        aggs.append(F.first(label, ignorenulls=True).cast("int").alias("label"))
+        aggs.append(F.max(label).cast("int").alias("label"))
     return rows.groupBy(*groups, "chunk_id").agg(*aggs)
 
 
 def with_line_numbers(seqs: DataFrame, groups: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """0-based line numbers in the order of groups and chunks."""
-    return global_rank(seqs, [*[F.col(g) for g in groups], F.col("chunk_id")], "line_idx", hot_rows=hot_rows)
+    """0-based line numbers in the order of groups and chunks, per split where there is one."""
+    keys = [g for g in groups if g == "split"]
+    order = [*[F.col(g) for g in groups if g not in keys], F.col("chunk_id")]
+    return ordered_scan(seqs, keys, order, position="line_idx", hot_rows=hot_rows)
 
 
 def word_count(text: Column) -> Column:

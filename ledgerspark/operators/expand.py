@@ -35,20 +35,22 @@ def checked_txn(txn: str, position: str = "seq_order") -> Column:
 
 
 def _exploded(records: DataFrame, gaps: bool = False) -> DataFrame:
+    start = F.coalesce(F.col("start"), F.lit(0)) if "start" in records.columns else F.lit(0)
+    before = F.col("prev_ts") if "prev_ts" in records.columns else F.lit(None).cast("double")
+    placed = lambda rows: rows.where(F.col("seq_order").isNotNull()).withColumn("seq_order", F.col("seq_order") + F.col("_start")).drop("_start")
     if not gaps:
         # The outer form, filtered afterwards: for the inner form the optimizer adds a filter on
         # the array's size below, which would parse every JSON line twice.
         rows = records.select(
-            F.col("cert_sm3").alias("user_id"), "label", F.posexplode_outer("trans").alias("seq_order", "txn")
+            F.col("cert_sm3").alias("user_id"), "label", start.alias("_start"), F.posexplode_outer("trans").alias("seq_order", "txn")
         )
-        return rows.where(F.col("seq_order").isNotNull())
+        return placed(rows)
     time = lambda t: F.get(t, 9).cast("double")
     gap = lambda t, i: F.greatest(
-        F.coalesce(F.when(i > 0, time(t) - time(F.get("trans", i - 1))), F.lit(0.0)), F.lit(0.0)
+        F.coalesce(time(t) - F.when(i > 0, time(F.get("trans", i - 1))).otherwise(before), F.lit(0.0)), F.lit(0.0)
     )
     both = F.transform("trans", lambda t, i: F.struct(t.alias("txn"), gap(t, i).alias("gap")))
-    rows = records.select(F.col("cert_sm3").alias("user_id"), "label", F.posexplode_outer(both).alias("seq_order", "_e"))
-    rows = rows.where(F.col("seq_order").isNotNull())
+    rows = placed(records.select(F.col("cert_sm3").alias("user_id"), "label", start.alias("_start"), F.posexplode_outer(both).alias("seq_order", "_e")))
     return rows.select("user_id", "label", "seq_order", F.col("_e.txn").alias("txn"), F.col("_e.gap").alias("time_delta_s"))
 
 
@@ -60,8 +62,8 @@ def short_transactions(records: DataFrame) -> DataFrame:
 def expand_records(
     records: DataFrame, strict: bool = True, drop_time_columns: bool = False, gaps: bool = False
 ) -> DataFrame:
-    """One row per transaction with user, label and 0-based ``seq_order``. Records
-    without transactions give no rows. Narrow: no shuffle. ``gaps`` adds the seconds since
+    """One row per transaction with user, label and 0-based ``seq_order``, which goes on
+    through the records of a history that comes in parts. Records without transactions give no rows. Narrow: no shuffle. ``gaps`` adds the seconds since
     the record's previous transaction, read from the neighbouring array entry."""
     rows = _exploded(records, gaps)
     if strict:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import HOT_ROWS, HotKeys, ordered_scan
+from .ordered import HOT_ROWS, HotKeys, find_hot_keys, ordered_scan
 
 
 def nulls_last(*cols: str) -> list[Column]:
@@ -41,11 +41,27 @@ def chunk_of(pos: Column, chunk_size: int) -> Column:
     return F.floor(pos / F.lit(chunk_size)).cast("int")
 
 
-def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int = 512) -> DataFrame:
-    """The ``n`` last rows of every key. The rank filter is applied before the shuffle
-    too, so a task never sends more than ``n`` rows of one key."""
+def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int = 512, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The ``n`` last rows of every key, in rising order with nulls first.
+
+    Ranks of ordinary keys are cut before the shuffle too, so a task never sends more than
+    ``n`` rows of one key. A key above ``hot_rows`` could still bring ``n`` rows from each of very
+    many tasks to one: its rows are scanned in parts, and its count tells the places to keep.
+    """
     w = Window.partitionBy(*keys).orderBy(*[o.desc_nulls_last() for o in order])
-    return df.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= n).drop("_back")
+    take = lambda d: d.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= n).drop("_back")
+    hot = find_hot_keys(df, keys, hot_rows)
+    if not hot:
+        return take(df)
+    named = [F.col(k).alias(f"_h_{k}") for k in keys]
+    # One row per hot key.
+    large = F.broadcast(df.sparkSession.createDataFrame(hot.rows, hot.schema).select(*named, F.col("_n").alias("_total")))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))
+    placed = ordered_scan(df.join(large, same, "left_semi"), keys, order, position="_at", hot=hot, hot_rows=hot_rows)
+    kept = placed.join(large, same).where(F.col("_at") >= F.col("_total") - n)
+    return take(df.join(large, same, "left_anti")).unionByName(kept.select(*[F.col(f"`{c}`") for c in df.columns]))
 
 
 def last_n_of_array(arr: Column, n: int = 512) -> Column:
@@ -65,5 +81,10 @@ def last_value(df: DataFrame, keys: list[str], value: str, order: list[Column],
 
 
 def min_history(records: DataFrame, k: int, arr: str = "trans") -> DataFrame:
-    """Keep records with at least ``k`` transactions; decided before anything is expanded."""
-    return records.where(F.coalesce(F.size(arr), F.lit(0)) >= k)
+    """Keep the records of users with at least ``k`` transactions; decided before anything is
+    expanded. Only a history that comes in parts (``start``) is counted over its records."""
+    size = F.coalesce(F.greatest(F.size(arr), F.lit(0)), F.lit(0))
+    if "start" not in records.columns:
+        return records.where(size >= k)
+    enough = records.groupBy("cert_sm3").agg(F.sum(size).alias("_n")).where(F.col("_n") >= k).select(F.col("cert_sm3").alias("_user"))
+    return records.join(enough, F.col("cert_sm3").eqNullSafe(F.col("_user")), "left_semi")

@@ -95,23 +95,20 @@ def three_model_comparison(
     settings = settings or MODEL_SETTINGS
     reduced, _, _ = pca_reduce(df, vector, k)
     encoded, order = ordinal_encode(reduced, features)
-    encoded = encoded.persist()
-    try:
-        plans = [
-            ("raw", "Raw features", dict(features=order), len(order)),
-            ("embed", f"{k}d PCA embeddings", dict(features=[], vector="pca", k=k), k),
-            ("combined", f"Combined ({len(order)}+{k}d)", dict(features=order, vector="pca", k=k), len(order) + k),
-        ]
-        rows = []
-        for i, (key, title, how, dim) in enumerate(plans):
-            _, scored = train_classifier(assemble(encoded, **how), label=label, **settings[key])
-            m = {}
-            for split in ("val", "test"):
-                r = ranking_metrics(scored.where(F.col("split") == split), "p1", label).first()
-                m[split] = (r["auc"], r["ap"])
-            rows.append((i, title, dim, *m["val"], *m["test"]))
-    finally:
-        encoded.unpersist()
+    encoded = materialize(encoded, "features")
+    plans = [
+        ("raw", "Raw features", dict(features=order), len(order)),
+        ("embed", f"{k}d PCA embeddings", dict(features=[], vector="pca", k=k), k),
+        ("combined", f"Combined ({len(order)}+{k}d)", dict(features=order, vector="pca", k=k), len(order) + k),
+    ]
+    rows = []
+    for i, (key, title, how, dim) in enumerate(plans):
+        _, scored = train_classifier(assemble(encoded, **how), label=label, **settings[key])
+        m = {}
+        for split in ("val", "test"):
+            r = ranking_metrics(scored.where(F.col("split") == split), "p1", label).first()
+            m[split] = (r["auc"], r["ap"])
+        rows.append((i, title, dim, *m["val"], *m["test"]))
     results = df.sparkSession.createDataFrame(
         rows, "pos int, model string, feature_dim int, val_auc double, val_ap double, test_auc double, test_ap double"
     )

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..session import materialize
+
 HOT_ROWS = 1_000_000      # rows of one key that still count as one task's work
 MAX_HOT_KEYS = 20_000     # more keys than this above the limit: each is < 1/20000 of the rows
 SAMPLE_PER_PART = 20
@@ -217,24 +219,21 @@ def quantiles(df: DataFrame, column: str, probs: list[float], hot_rows: int = HO
     """
     x = F.col(column).cast("double")
     counts = df.where(x.isNotNull() & ~F.isnan(x)).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).alias("_c"))
-    counts = counts.persist()
-    try:
-        size = counts.agg(F.count(F.lit(1)).alias("m"), F.sum("_c").alias("n")).first()
-        if not size["m"]:
-            return []
-        if size["m"] <= hot_rows:
-            arr = F.array(*[F.lit(float(p)) for p in probs])
-            return list(counts.agg(F.percentile("_x", arr, F.col("_c")).alias("q")).first()["q"])
-        ranks = [p * (size["n"] - 1) for p in probs]
-        wanted = sorted({int(r) for r in ranks} | {min(int(r) + 1, size["n"] - 1) for r in ranks})
-        cum = global_prefix_sum(counts, [F.col("_x")], {"_cum": "_c"}, hot_rows=hot_rows)
-        want = F.broadcast(df.sparkSession.createDataFrame([(w,) for w in wanted], "_r bigint"))
-        hits = cum.join(want, (F.col("_r") < F.col("_cum")) & (F.col("_r") >= F.col("_cum") - F.col("_c")))
-        at = {r["_r"]: r["_x"] for r in hits.select("_r", "_x").collect()}
-        out = []
-        for r in ranks:
-            lo, hi = int(r), min(int(r) + 1, size["n"] - 1)
-            out.append(at[lo] if lo == r else (hi - r) * at[lo] + (r - lo) * at[hi])
-        return out
-    finally:
-        counts.unpersist()
+    counts = materialize(counts, "values")
+    size = counts.agg(F.count(F.lit(1)).alias("m"), F.sum("_c").alias("n")).first()
+    if not size["m"]:
+        return []
+    if size["m"] <= hot_rows:
+        arr = F.array(*[F.lit(float(p)) for p in probs])
+        return list(counts.agg(F.percentile("_x", arr, F.col("_c")).alias("q")).first()["q"])
+    ranks = [p * (size["n"] - 1) for p in probs]
+    wanted = sorted({int(r) for r in ranks} | {min(int(r) + 1, size["n"] - 1) for r in ranks})
+    cum = global_prefix_sum(counts, [F.col("_x")], {"_cum": "_c"}, hot_rows=hot_rows)
+    want = F.broadcast(df.sparkSession.createDataFrame([(w,) for w in wanted], "_r bigint"))
+    hits = cum.join(want, (F.col("_r") < F.col("_cum")) & (F.col("_r") >= F.col("_cum") - F.col("_c")))
+    at = {r["_r"]: r["_x"] for r in hits.select("_r", "_x").collect()}
+    out = []
+    for r in ranks:
+        lo, hi = int(r), min(int(r) + 1, size["n"] - 1)
+        out.append(at[lo] if lo == r else (hi - r) * at[lo] + (r - lo) * at[hi])
+    return out

@@ -74,8 +74,9 @@ def temporal_split_quantile(
         q = df.agg(F.percentile_approx(time, F.lit(probs), F.lit(100_000)).alias("q")).first()["q"]
     else:
         q = quantiles(df, time, probs, hot_rows)
+    q = q or [None, None]  # no row has a time
     t = F.col(time)
-    split = F.when(t <= F.lit(q[0]), "train").when(t <= F.lit(q[1]), "val").when(t > F.lit(q[1]), "test")
+    split = F.when(t <= F.lit(q[0]).cast("double"), "train").when(t <= F.lit(q[1]).cast("double"), "val").when(t > F.lit(q[1]).cast("double"), "test")
     return df.where(t.isNotNull() & ~F.isnan(t.cast("double"))).withColumn("split", split), tuple(q)
 
 

@@ -192,6 +192,7 @@ class MapStep(Step):
     fitted: tuple | None = None    # learned labels, in order
     table: DataFrame | None = field(default=None, compare=False)  # learned labels, too many to list
     table_size: int = 0
+    default_at: int = 0  # index of the default among the labels of the table
 
     @property
     def learned(self):
@@ -245,7 +246,7 @@ class MapStep(Step):
         return (F.array_position(F.lit(self.labels()), self.label()) - 1).cast("int")
 
     def _default_index(self) -> int:
-        return self.table_size - 1 if self.table is not None else self.labels().index(self.default)
+        return self.default_at if self.table is not None else self.labels().index(self.default)
 
     def token(self) -> Column:
         return F.concat(F.lit(self.prefix + "_"), self.label())

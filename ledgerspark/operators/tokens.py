@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.constants import BOS, EOS, PAD, SPECIAL_TOKENS, UNK
+from ..session import materialize
 from . import steps as S
 from .ordered import HOT_ROWS, ordered_scan, quantiles
 
@@ -30,11 +31,11 @@ def fit_edges(df: DataFrame, column: str, bins: int, strategy: str = "quantile",
         from pyspark.ml.feature import VectorAssembler
 
         # Equal values are counted first; the iterations then run over weighted distinct values.
-        data = df.where(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_w")).persist()
+        data = df.where(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+        data = materialize(data, "values")
         r = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
         vec = VectorAssembler(inputCols=["_x"], outputCol="features").transform(data)
         model = KMeans(k=bins, seed=42, weightCol="_w").fit(vec)
-        data.unpersist()
         c = sorted(float(v[0]) for v in model.clusterCenters())
         return [r["lo"], *[(a + b) / 2 for a, b in zip(c, c[1:])], r["hi"]]
     raise ValueError(f"unknown strategy {strategy!r}")
@@ -98,26 +99,22 @@ class Tokens:
     def _fit_labels(df, steps, hot_rows) -> dict:
         if not steps:
             return {}
-        found = distinct_labels(df, [s.column for s in steps]).persist()
-        try:
-            sizes = {r["column"]: r["n"] for r in found.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
-            small = [s for s in steps if sizes.get(s.column, 0) <= S.COLLECT_LABELS // len(steps)]
-            labels: dict[str, list[str]] = {s.column: [] for s in small}
-            if small:
-                # Bounded: at most COLLECT_LABELS labels in all.
-                for r in found.where(F.col("column").isin(*labels)).collect():
-                    labels[r["column"]].append(r["label"])
-            out = {s.name: s.with_labels(labels[s.column]) for s in small}
-            for s in steps:
-                if s.name not in out:
-                    from ..session import materialize
-
-                    t = fit_categories(df, [s.column], s.default, hot_rows).select("local_idx", "label")
-                    t = materialize(t, "labels")
-                    out[s.name] = replace(s, table=t, table_size=t.count())
-            return out
-        finally:
-            found.unpersist()
+        found = materialize(distinct_labels(df, [s.column for s in steps]), "labels")
+        sizes = {r["column"]: r["n"] for r in found.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+        small = [s for s in steps if sizes.get(s.column, 0) <= S.COLLECT_LABELS // len(steps)]
+        labels: dict[str, list[str]] = {s.column: [] for s in small}
+        if small:
+            # Bounded: at most COLLECT_LABELS labels in all.
+            for r in found.where(F.col("column").isin(*labels)).collect():
+                labels[r["column"]].append(r["label"])
+        out = {s.name: s.with_labels(labels[s.column]) for s in small}
+        for s in steps:
+            if s.name not in out:
+                t = fit_categories(df, [s.column], s.default, hot_rows).select("local_idx", "label")
+                t = materialize(t, "labels")
+                facts = t.agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("label") == s.default, F.col("local_idx"))).alias("d")).first()
+                out[s.name] = replace(s, table=t, table_size=facts["n"], default_at=facts["d"])
+        return out
 
     def _need_fit(self) -> None:
         if not self.fitted:
@@ -236,8 +233,14 @@ class Tokens:
         return out
 
     def id_of_token(self, token: Column) -> Column:
-        """Id of a token text by rule: prefix, then number or label. ``<unk>`` if unknown,
-        also for labels that are kept in a table."""
+        """Id of a token text by rule: prefix, then number or label; ``<unk>`` if unknown. A
+        column cannot look into a label table: with one, use ``with_ids`` or ``encode_text``."""
+        if len(self._listed()) < len(self.steps):
+            raise ValueError("some labels are kept in a table: use with_ids")
+        return F.coalesce(self._id_by_rule(token), F.lit(UNK))
+
+    def _id_by_rule(self, token: Column) -> Column:
+        """Null where no rule knows the token."""
         off = self.offsets
         out = F.lit(None).cast("int")
         # Prefixes may extend one another (MERCH, MERCH_NAME): the longest is tried first.
@@ -246,7 +249,32 @@ class Tokens:
             hit = F.when(F.startswith(token, F.lit(s.prefix + "_")), s.index_of(suffix) + F.lit(off[s.name]))
             out = F.coalesce(hit.cast("int"), out)
         special = F.array_position(F.lit(SPECIAL_TOKENS), token)
-        return F.when(special > 0, (special - 1).cast("int")).otherwise(F.coalesce(out, F.lit(UNK)))
+        return F.when(special > 0, (special - 1).cast("int")).otherwise(out)
+
+    def with_ids(self, df: DataFrame, token: str, name: str = "id") -> DataFrame:
+        """Add the id of the token text in ``token``, however the labels are kept."""
+        by_rule, table = self._id_by_rule(F.col(token)), self._tabled(df.sparkSession)
+        if table is None:
+            return df.withColumn(name, F.coalesce(by_rule, F.lit(UNK)))
+        # A token that a rule knows takes no part in the join, so it makes no hot key.
+        open_ = F.when(by_rule.isNull() & self._may_be_tabled(F.col(token)), F.col(token))
+        t = table.select(F.col("token").alias("_on"), F.col("global_id").alias("_id"))
+        out = df.withColumn("_open", open_).join(t, F.col("_open") == F.col("_on"), "left")
+        return out.withColumn(name, F.coalesce(by_rule, F.col("_id"), F.lit(UNK)).cast("int")).drop("_open", "_on", "_id")
+
+    def _may_be_tabled(self, token: Column) -> Column:
+        out = F.lit(False)
+        for s in self.steps:
+            if getattr(s, "table", None) is not None:
+                out = out | F.startswith(token, F.lit(s.prefix + "_"))
+        return out
+
+    def _in_table(self, i: Column) -> Column:
+        out = F.lit(False)
+        for s in self.steps:
+            if getattr(s, "table", None) is not None:
+                out = out | i.between(self.offsets[s.name], self.offsets[s.name] + s.size - 1)
+        return out
 
     def token_of_id(self, i: Column) -> Column:
         """Token of an id, null if there is none or its label is kept in a table."""
@@ -258,28 +286,32 @@ class Tokens:
         return out
 
     @staticmethod
-    def _by_join(df, items: Column, by_rule, table: DataFrame, on: str, value: str, keys, name: str) -> DataFrame:
+    def _by_join(df, items: Column, wanted, by_rule, table: DataFrame, on: str, value: str, keys, name: str) -> DataFrame:
         """``items`` mapped entry by entry: by rule, or by a shuffled join with a label table
-        too long to list. ``keys`` identify a row, so its entries come together again."""
+        too long to list. Only a row's different entries that no rule knows are sent to the
+        join; what it finds comes back as a map of the row. ``keys`` identify a row; without
+        them the rows are stored with a key of their own first."""
+        columns = df.columns
         if not keys:
-            raise ValueError("some labels are kept in a table: name the key columns of the rows")
-        rest = [c for c in df.columns if c not in keys]
-        w = df.select(*keys, F.struct(*rest).alias("_rest"), F.posexplode_outer(items).alias("_pos", "_x"))
-        t = table.select(F.col(on).alias("_on"), F.col(value).alias("_value"))
-        w = w.join(t, F.col("_x") == F.col("_on"), "left")
-        found = F.coalesce(F.col("_value"), by_rule(F.col("_x")))
-        entry = F.when(F.col("_pos").isNotNull(), F.struct("_pos", found.alias("v")))
-        back = w.groupBy(*keys).agg(F.first("_rest").alias("_rest"), F.array_sort(F.collect_list(entry)).alias("_e"))
-        return back.select(*keys, "_rest.*", F.transform("_e", lambda e: e["v"]).alias(name)) if rest else back.select(
-            *keys, F.transform("_e", lambda e: e["v"]).alias(name)
-        )
+            df, keys = materialize(df.withColumn("_key", F.monotonically_increasing_id()), "lines"), ["_key"]
+        w = df.select(*keys, F.explode(F.array_distinct(F.filter(items, wanted))).alias("_x"))
+        found = w.join(table.select(F.col(on).alias("_on"), F.col(value).alias("_value")), F.col("_x") == F.col("_on"))
+        maps = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_x", "_value"))).alias("_map"))
+        maps = maps.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_map")
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        out = df.join(maps, same, "left")
+        look = lambda x: F.when(F.col("_map").isNotNull(), F.try_element_at(F.col("_map"), x))
+        out = out.withColumn(name, F.transform(items, lambda x: F.coalesce(by_rule(x), look(x))))
+        return out.select(*[F.col(f"`{c}`") for c in columns if c != name], name)
 
     def encode_text(
         self, df: DataFrame, text: str = "text", max_length: int | None = None, name: str = "input_ids", keys: list[str] = ()
     ) -> DataFrame:
         """Ids of a token text, cut and padded to ``max_length`` if one is given. Works
         inside the row: nothing is exploded or shuffled, unless a step has more labels than
-        can be listed; then ``keys`` must identify the rows."""
+        can be listed; ``keys`` that identify the rows then save storing them."""
         self._need_fit()
         words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
         if max_length:
@@ -288,7 +320,9 @@ class Tokens:
         if table is None:
             out = df.withColumn(name, F.transform(words, self.id_of_token))
         else:
-            out = self._by_join(df, words, self.id_of_token, table, "token", "global_id", list(keys), name)
+            wanted = lambda x: self._may_be_tabled(x) & self._id_by_rule(x).isNull()
+            out = self._by_join(df, words, wanted, self._id_by_rule, table, "token", "global_id", list(keys), name)
+            out = out.withColumn(name, F.transform(name, lambda i: F.coalesce(i, F.lit(UNK)).cast("int")))
         if max_length:
             out = out.withColumn(name, F.concat(name, F.array_repeat(F.lit(PAD), F.lit(max_length) - F.size(name))))
         return out
@@ -299,7 +333,7 @@ class Tokens:
         if table is None:
             out = df.withColumn(name, F.transform(ids, self.token_of_id))
         else:
-            out = self._by_join(df, F.col(ids), self.token_of_id, table, "global_id", "token", list(keys), name)
+            out = self._by_join(df, F.col(ids), self._in_table, self.token_of_id, table, "global_id", "token", list(keys), name)
         kept = F.filter(name, lambda t: t.isNotNull() & (t != SPECIAL_TOKENS[PAD]))
         return out.withColumn(name, F.array_join(kept, " "))
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.constants import CARD_CHUNK, CARD_FEATURES, NDJSON_CHUNK
+from ..functions.constants import CARD_CHUNK, CARD_FEATURES, NDJSON_CHUNK, NDJSON_FEATURES
 from ..operators import corpus, sampling
 from ..operators.align import align, extract_label
 from ..operators.expand import expand_records
@@ -15,7 +15,7 @@ from ..operators.history import last_n, with_gap
 from ..operators.ordered import HOT_ROWS, NO_HOT_KEYS
 from ..operators.split import temporal_split_date, temporal_split_quantile
 from ..operators.tokens import Tokens
-from ..operators.vectors import embed_sequences, one_hot_states
+from ..operators.vectors import embed_sequences, embedding_metadata, one_hot_states
 from ..sources import readers, writers
 from . import card, ndjson
 
@@ -90,21 +90,23 @@ def run_card_job(spark: SparkSession, csv_path, out: str, force: bool = False, *
 
     def split_rows():
         raw = readers.read_card_csv(spark, csv_path)
-        return temporal_split_date(raw)[0]
+        return temporal_split_date(raw if "row_id" in raw.columns else readers.with_row_key(raw))[0]
 
     splits = writers.stage(spark, f"{out}/splits", split_rows, force, ["split"])
-    seqs = writers.stage(spark, f"{out}/sequences", lambda: card_corpus(splits, **kw)[0], force, ["split"])
-    writers.write_corpus(seqs, f"{out}/corpus")
+    numbered = lambda: corpus.with_line_numbers(card_corpus(splits, **kw)[0], ["split", *card.KEYS])
+    seqs = writers.stage(spark, f"{out}/sequences", numbered, force, ["split"])
+    if force or not writers.exists(spark, f"{out}/corpus"):
+        writers.write_corpus(seqs, f"{out}/corpus")
     return {"splits": splits, "sequences": seqs, "stats": corpus.corpus_stats(seqs, ["split"])}
 
 
 def run_ndjson_job(spark: SparkSession, path, out: str, force: bool = False, **kw) -> dict:
     """Nested records to a transaction table (the only pass over the JSON), corpus, sidecar,
     saved vocabulary and statistics under ``out``."""
-    # The id is written with the row, so it stays the same for all later readers.
+    # The key follows from the row's content, so another build gives the same samples.
     txns = writers.stage(
         spark, f"{out}/transactions",
-        lambda: expand_records(readers.read_records(spark, path)).withColumn("row_id", F.monotonically_increasing_id()), force,
+        lambda: readers.with_row_key(expand_records(readers.read_records(spark, path))), force,
     )
     vocab = f"{out}/vocab"
     known = Tokens.load(spark, vocab) if writers.exists(spark, vocab) and not force else None
@@ -113,13 +115,13 @@ def run_ndjson_job(spark: SparkSession, path, out: str, force: bool = False, **k
         seqs, fitted = ndjson_corpus(txns, tokens=known, **kw)
         if known is None:
             fitted.save(spark, vocab)
-        return seqs
+        return corpus.with_line_numbers(seqs, ["split", "user_id"])
 
     seqs = writers.stage(spark, f"{out}/sequences", sequences, force, ["split"])
-    groups = ["split", "user_id"]
-    lines = corpus.with_line_numbers(seqs.select(*groups, "chunk_id", "n_txns", "label"), groups)
-    writers.write_sidecar(lines, f"{out}/sidecar")
-    writers.write_corpus(seqs, f"{out}/corpus")
+    if force or not writers.exists(spark, f"{out}/sidecar"):
+        writers.write_sidecar(seqs.select("split", "line_idx", "user_id", "chunk_id", "n_txns", "label"), f"{out}/sidecar")
+    if force or not writers.exists(spark, f"{out}/corpus"):
+        writers.write_corpus(seqs, f"{out}/corpus")
     return {"transactions": txns, "sequences": seqs, "tokens": Tokens.load(spark, vocab), "stats": corpus.corpus_stats(seqs, ["split"])}
 
 
@@ -148,8 +150,11 @@ def embed_splits(
         rows = train.unionByName(rows.where(F.col("split") != "train"))
     keep = ["row_id", "split", "_y"]
     if route_name == "card":
-        pre = r.preprocess_card(rows, hash=hash, keep=["split", "_y"], keys=["split", *r.KEYS], position=None)
         tokens = tokens or r.fitted_card_steps()
+        if any(s.column == "time_delta_s" for s in tokens.steps):
+            pre = r.preprocess_card(rows, hash=hash, keep=["split", "_y"], keys=["split", *r.KEYS], position=None)
+        else:
+            pre = r.clean_card(rows, hash=hash, keep=["split", "_y"])
     else:
         if tokens is None:
             raise ValueError("the ndjson route needs its fitted tokens")
@@ -158,7 +163,27 @@ def embed_splits(
     return out.withColumnRenamed("_y", "label")
 
 
-def compare_models(raw: DataFrame, vectors: DataFrame, features: list[str] = CARD_FEATURES, k: int = 64, settings=None) -> DataFrame:
-    """Align raw rows with vectors by (split, row_id) and run the three models."""
-    data = align(card.engineer_features(raw).select("split", "row_id", *[F.col(f"`{f}`") for f in features]), vectors)
-    return three_model_comparison(data, features, "embedding", "label", k, settings)
+def compare_models(
+    raw: DataFrame, vectors: DataFrame, features: list[str] | None = None, k: int = 64, settings=None, route_name: str = "card"
+) -> DataFrame:
+    """Align raw rows with vectors by (split, row_id) and run the three models, on the raw
+    features of the route."""
+    features = features or {"card": CARD_FEATURES, "ndjson": NDJSON_FEATURES}[route_name]
+    named = route(route_name).engineer_features(raw).select("split", "row_id", *[F.col(f"`{f}`") for f in features])
+    return three_model_comparison(align(named, vectors), features, "embedding", "label", k, settings)
+
+
+def run_report_job(
+    spark: SparkSession, splits: DataFrame, out: str, route_name: str = "card", tokens: Tokens | None = None, load_model=None,
+    features: list[str] | None = None, k: int = 64, settings=None, force: bool = False, **kw,
+) -> dict[str, DataFrame]:
+    """Split rows (``row_id``, ``split``) to vectors with their metadata, and the comparison of the
+    three models as a table of metrics, under ``out``. Finished stages are read, not run again."""
+    path = f"{out}/vectors"
+    if force or not writers.exists(spark, path):
+        vectors = embed_splits(splits, route_name, tokens, load_model, **kw)
+        writers.write_embeddings(vectors, path)
+    vectors = readers.read_embeddings(spark, path)
+    meta = writers.stage(spark, f"{out}/vectors_metadata", lambda: embedding_metadata(vectors, label="label"), force)
+    report = writers.stage(spark, f"{out}/metrics", lambda: compare_models(splits, vectors, features, k, settings, route_name), force)
+    return {"vectors": vectors, "metadata": meta, "metrics": report}

@@ -60,6 +60,11 @@ def clean_ndjson(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
+def engineer_features(df: DataFrame) -> DataFrame:
+    """Raw features of the model comparison: the amount as a number, the rest as they are."""
+    return df.withColumn("amount", clean.amount_number(F.col("amount"), ","))
+
+
 def history_order(df: DataFrame | None = None):
     """Arrival order; time and content settle equal places of a user with several records,
     and a stored ``row_id`` tells exact copies apart, so that any number of them can be cut

@@ -119,7 +119,7 @@ def amount_series(spark, sf):
 @query(with_("v_txn", "SELECT user_id, count(*)::INT AS n_txns FROM v_txn GROUP BY user_id HAVING count(*) >= 60"))
 def min_history(spark, sf):
     kept = history.min_history(views.records(spark, sf), 60)
-    return kept.select(F.col("cert_sm3").alias("user_id"), F.size("trans").alias("n_txns"))
+    return kept.groupBy(F.col("cert_sm3").alias("user_id")).agg(F.sum(F.size("trans")).cast("int").alias("n_txns"))
 
 
 @query(with_("v_dated v_split", """
@@ -280,7 +280,7 @@ SELECT user_id, seq_order, array_to_string(list_transform(range(16), lambda i: C
 FROM (SELECT *, greatest(coalesce(floor((floor(unix_ts) - floor(lag(unix_ts) OVER (PARTITION BY user_id ORDER BY seq_order))) / 3600), 0), 0) AS h FROM v_txn)
 """), name="frequency_encode")
 def frequency_encode_(spark, sf):
-    r = ndjson.clean_ndjson(rows(spark, sf))
+    r = ndjson.clean_ndjson(stored_rows(spark, sf))
     r = history.ordered_scan(r, ["user_id"], ndjson.history_order(), previous={"_p": "unix_ts"})
     h = history.gap_hours(F.col("_p"), F.col("unix_ts"))
     code = frequency_encode(h)
@@ -360,16 +360,14 @@ def lookup_token_id(spark, sf):
     t = card.fitted_card_steps(merchant_buckets=2000)
     chip = next(s for s in t.steps if s.prefix == "CHIP")
     c = card.clean_card(views.card(spark, sf))
-    tok = chip.token()
-    return c.select(
-        "row_id", (chip.index() + F.lit(t.offsets[chip.name])).cast("int").alias("by_rule"), t.id_of_token(tok).alias("by_text"),
-        t.id_of_token(F.concat(tok, F.lit("?"))).alias("unknown"),
-    )
+    c = c.select("row_id", (chip.index() + F.lit(t.offsets[chip.name])).cast("int").alias("by_rule"), chip.token().alias("tok"))
+    c = t.with_ids(c.withColumn("other", F.concat("tok", F.lit("?"))), "tok", "by_text")
+    return t.with_ids(c, "other", "unknown").select("row_id", "by_rule", "by_text", "unknown")
 
 
 @query(with_("v_txn", "SELECT user_id, max(label) AS label FROM v_txn GROUP BY user_id"))
 def lookup_user_label(spark, sf):
-    return rows(spark, sf).groupBy("user_id").agg(F.first("label", ignorenulls=True).alias("label"))
+    return rows(spark, sf).groupBy("user_id").agg(F.max("label").alias("label"))
 
 
 @query(with_("card_idx v_target", 'SELECT c.row_id, c."user", c.card, t.y FROM card_idx c JOIN v_target t USING (row_id)'))

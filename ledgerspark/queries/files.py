@@ -23,13 +23,16 @@ ROW_COLUMNS = [
 ]
 
 
-@query(with_("v_card", 'SELECT * FROM v_card'))
+@query(with_("v_card", 'SELECT *, 1 AS is_key FROM (SELECT * EXCLUDE (row_id) FROM v_card)'))
 def scan_csv(spark, sf):
     path = fresh_path(spark, "csv")
-    views.card(spark, sf).write.option("header", True).option("nullValue", "\\N").option("ignoreLeadingWhiteSpace", False).option(
+    names = [c for c in views.card(spark, sf).columns if c != "row_id"]
+    # Another order of columns than the schema's, and one column more.
+    views.card(spark, sf).select(*[F.col(f"`{c}`") for c in [*names[5:], *names[:5]]], F.lit("").alias("Errors?")).write.option("header", True).option("nullValue", "\\N").option("ignoreLeadingWhiteSpace", False).option(
         "ignoreTrailingWhiteSpace", False
     ).csv(path)
-    return readers.read_card_csv(spark, path, nullValue="\\N")
+    out = readers.with_row_key(readers.read_card_csv(spark, path, nullValue="\\N"))
+    return out.select(*[F.col(f"`{c}`") for c in names], F.when(F.length("row_id") > 33, 1).otherwise(0).alias("is_key"))
 
 
 @query(with_("v_card", 'SELECT row_id, "Amount", "MCC" FROM v_card'))
@@ -44,7 +47,7 @@ SELECT user_id, max(label) AS label, count(*)::INT AS n_txns FROM v_txn GROUP BY
 """))
 def scan_ndjson(spark, sf):
     r = readers.read_records(spark, views.record_folder(spark, sf), pattern="*.txt")
-    return r.select(F.col("cert_sm3").alias("user_id"), "label", F.size("trans").alias("n_txns"))
+    return r.groupBy(F.col("cert_sm3").alias("user_id")).agg(F.max("label").alias("label"), F.sum(F.size("trans")).cast("int").alias("n_txns"))
 
 
 @query(with_("v_rows", f"SELECT {', '.join(ROW_COLUMNS)} FROM v_rows"))
@@ -64,7 +67,7 @@ def scan_corpus(spark, sf):
 def sink_corpus(spark, sf):
     seqs, _ = jobs.card_corpus(views.card(spark, sf), 5, hash="md5")
     path = fresh_path(spark, "corpus")
-    seqs.select("split", F.col("text").alias("value")).write.partitionBy("split").text(path)
+    writers.write_corpus(corpus.with_line_numbers(seqs, ["split", "user", "card"]), path)
     t = spark.read.text(path)
     return t.groupBy("split").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("value")).alias("n_chars"))
 
@@ -93,13 +96,13 @@ def sink_splits(spark, sf):
 
 
 @query(with_("nd_seq", """
-SELECT split, row_number() OVER (ORDER BY split, user_id, chunk_id) - 1 AS line_idx, user_id, chunk_id, n_txns, label FROM nd_seq
+SELECT split, row_number() OVER (PARTITION BY split ORDER BY user_id, chunk_id) - 1 AS line_idx, user_id, chunk_id, n_txns, label FROM nd_seq
 """))
 def sink_sidecar(spark, sf):
     seqs, _ = jobs.ndjson_corpus(stored_rows(spark, sf), 20, hash="md5")
     g = ["split", "user_id"]
     path = fresh_path(spark, "sidecar")
-    writers.write_sidecar(corpus.with_line_numbers(seqs.drop("text"), g), path)
+    writers.write_sidecar(corpus.with_line_numbers(seqs, g).drop("text"), path)
     return spark.read.schema("split string, line_idx bigint, user_id string, chunk_id int, n_txns bigint, label int").json(path)
 
 

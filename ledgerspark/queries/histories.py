@@ -10,13 +10,13 @@ from ..operators.ordered import global_rank as rank_all
 from ..operators.ordered import ordered_scan
 from ..plans import card, ndjson
 from . import views
-from .features import rows
+from .features import rows, stored_rows
 from .registry import query
 from .sql import with_
 
 
 def nd(spark, sf):
-    return ndjson.clean_ndjson(rows(spark, sf))
+    return ndjson.clean_ndjson(stored_rows(spark, sf))
 
 
 @query(with_("card_pre", 'SELECT row_id, "user", card, time_delta_s FROM card_pre'))
@@ -26,7 +26,7 @@ def time_delta_card(spark, sf):
 
 @query(with_("nd_all", "SELECT user_id, seq_order, round(time_delta_s, 6) AS time_delta_s FROM nd_all"))
 def time_delta_user(spark, sf):
-    return ndjson.preprocess_ndjson(rows(spark, sf)).select("user_id", "seq_order", F.round("time_delta_s", 6).alias("time_delta_s"))
+    return ndjson.preprocess_ndjson(stored_rows(spark, sf)).select("user_id", "seq_order", F.round("time_delta_s", 6).alias("time_delta_s"))
 
 
 @query(with_("card_pre", "SELECT row_id, pos FROM card_pre"))

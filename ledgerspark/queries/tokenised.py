@@ -11,7 +11,7 @@ from ..plans import card, jobs, ndjson
 from ..session import fresh_path
 from ..streaming.tokens import stream_tokens as token_stream
 from . import views
-from .features import rows, stored_rows
+from .features import stored_rows
 from .registry import query
 from .sql import CARD_IDS, CARD_OFFSETS, CARD_STEPS, CARD_TOKENS, ND_ALL, log_bucket, quoted, with_
 
@@ -21,7 +21,7 @@ def prepared(spark, sf):
 
 
 def nd_prepared(spark, sf):
-    return ndjson.preprocess_ndjson(rows(spark, sf))
+    return ndjson.preprocess_ndjson(stored_rows(spark, sf))
 
 
 def nd_stored(spark, sf):
@@ -125,13 +125,13 @@ def add_step(spark, sf):
 
 @query(with_("nd_vocab", "SELECT local_idx, token, global_id FROM nd_vocab"))
 def fit_vocab(spark, sf):
-    _, t = nd_fitted(spark, sf)
+    _, t = nd_stored(spark, sf)
     return t.vocab(spark).select("local_idx", "token", "global_id")
 
 
 @query(with_("nd_vocab", "SELECT 6251::BIGINT AS card_size, count(*) AS ndjson_size FROM nd_vocab"))
 def vocab_size(spark, sf):
-    _, t = nd_fitted(spark, sf)
+    _, t = nd_stored(spark, sf)
     n = t.vocab(spark).agg(F.count(F.lit(1)).alias("ndjson_size"))
     return n.select(F.lit(card.fitted_card_steps().vocab_size).cast("bigint").alias("card_size"), "ndjson_size")
 
@@ -329,7 +329,7 @@ SELECT user_id, seq_order, concat_ws(' ', """ + ", ".join(f'"tok_{p}"' for p, _
 def stream_tokens(spark, sf):
     """The record folder read as a stream with a frozen vocabulary, run until it is drained."""
     folder = views.record_folder(spark, sf)
-    _, t = nd_fitted(spark, sf)
+    _, t = nd_stored(spark, sf)
     out, ck = fresh_path(spark, "streamed"), fresh_path(spark, "offsets")
     q = (
         token_stream(spark, folder, t, pattern="*.txt").writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)

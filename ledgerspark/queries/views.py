@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import ordered_scan
 from ..session import fresh_path
 
-RECORD_TXNS = 4096  # transactions per nested record; a longer history becomes several records
+RECORD_TXNS = 4096  # transactions per nested record; a longer history comes in several, with their places
 
 # Records appended to the derived ones: no transactions, no label, non-ASCII merchant.
 EDGE_RECORDS = [
@@ -93,13 +93,18 @@ def _txn_json() -> Column:
 def record_lines(spark: SparkSession, sf: str) -> DataFrame:
     """``value``: one JSON line per user record."""
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", _txn_json().alias("txn"))
-    ev = ordered_scan(ev, ["user_id"], [F.col("ts"), F.col("event_id")], position="_pos")
+    ev = ev.withColumn("_time", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0))
+    ev = ordered_scan(ev, ["user_id"], [F.col("ts"), F.col("event_id")], position="_pos", previous={"_prev": "_time"})
     ev = ev.withColumn("_rec", F.floor(F.col("_pos") / RECORD_TXNS))
     listed = F.expr("listagg(txn, ',') WITHIN GROUP (ORDER BY _pos)")
-    lines = ev.groupBy("user_id", "_rec").agg(listed.alias("txns")).select(
+    first = F.struct(F.min("_pos").alias("at"), F.min_by("_prev", "_pos").alias("prev"))
+    part = F.when(
+        F.col("first.at") > 0, F.concat(F.lit(',"start":'), _s(F.col("first.at")), F.lit(',"prev_ts":'), _s(F.col("first.prev")))
+    ).otherwise("")
+    lines = ev.groupBy("user_id", "_rec").agg(listed.alias("txns"), first.alias("first")).select(
         F.concat(
             F.lit('{"cert_sm3":"u'), _s(F.col("user_id")), F.lit('","label":'),
-            F.when(F.col("user_id") % 5 == 0, "1").otherwise("0"), F.lit(',"trans":['), F.col("txns"), F.lit("]}"),
+            F.when(F.col("user_id") % 5 == 0, "1").otherwise("0"), F.lit(',"trans":['), F.col("txns"), F.lit("]"), part, F.lit("}"),
         ).alias("value")
     )
     return lines.unionByName(spark.createDataFrame([(r,) for r in EDGE_RECORDS], "value string"))

@@ -15,8 +15,8 @@ SETTINGS = {
     # Wide token projections compile to methods the JVM will not optimise (above 8000
     # bytes); with this limit Spark splits them into small ones instead.
     "spark.sql.codegen.hugeMethodLimit": "8000",
-    # "The last n rows per key" is cut before the shuffle for n up to here (default 1000).
-    "spark.sql.optimizer.windowGroupLimitThreshold": "65536",
+    # "The last n rows per key" is cut before the shuffle for any n (default: up to 1000).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "2147483647",
 }
 
 

@@ -10,13 +10,26 @@ def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("split").parquet(path)
 
 
+def _in_line_order(df: DataFrame):
+    """Rows dealt out and sorted so that a folder's files, taken in the order of their names,
+    hold line 0, 1, .. of each split."""
+    by = [c for c in ("split", "line_idx") if c in df.columns]
+    out = df.repartitionByRange(*by).sortWithinPartitions(*by) if "line_idx" in by else df
+    return lambda o: o.write.partitionBy("split") if "split" in by else o.write, out
+
+
 def write_corpus(df: DataFrame, path: str, text: str = "text", mode: str = "overwrite") -> None:
-    df.select(F.col(text).alias("value")).write.mode(mode).text(path)
+    """Sequences as text lines, each split in a folder of its own; with ``line_idx``, line i of
+    a split is the one numbered i."""
+    writer, out = _in_line_order(df)
+    kept = [F.col("split")] if "split" in df.columns else []
+    writer(out.select(*kept, F.col(text).alias("value"))).mode(mode).text(path)
 
 
 def write_sidecar(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Metadata of the sequences as JSON lines, null fields kept."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """Metadata of the sequences as JSON lines, null fields kept, in the lines of the corpus."""
+    writer, out = _in_line_order(df)
+    writer(out).mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_embeddings(df: DataFrame, path: str, mode: str = "overwrite", metadata: DataFrame | None = None) -> None:

@@ -1,7 +1,7 @@
 """The same rows from a folder that keeps receiving record files.
 
-A record holds a user's whole history, so the gap to the previous transaction is read
-from the neighbouring array entry and no state is kept between batches. The vocabulary
+The gap to the previous transaction is read from the neighbouring array entry, or from the
+record's ``prev_ts`` where a history comes in parts; no state is kept between batches. The vocabulary
 is frozen: it comes from a fitted ``Tokens``.
 """
 
@@ -28,7 +28,7 @@ def stream_records(
 
 def record_rows(records: DataFrame) -> DataFrame:
     """Cleaned transaction rows with ``time_delta_s``, row by row: works on streams and on
-    tables, without a shuffle, as long as a user is one record."""
+    tables, without a shuffle."""
     return clean_ndjson(expand_records(records, gaps=True))
 
 

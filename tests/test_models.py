@@ -8,7 +8,7 @@ from ledgerspark.operators import metrics, ml, sampling, vectors
 from ledgerspark.operators.metrics import LOSSES, build_loss
 
 NAMES = [*LOSSES, "pauc_sigmoid"]
-LOGITS = [(3.0, -1.0, 0), (-2.0, 2.5, 1), (1.5, -0.5, 0), (-1.0, 2.0, 1)]
+LOGITS = [(0.25, 0.75, 1), (4.0, -6.0, 0), (-0.125, -3.5, 0), (-7.0, 1.25, 1)]
 
 
 def frame(spark, amounts=(0.0, 100.0, 0.0, 500.0), labels=None):

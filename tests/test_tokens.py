@@ -46,7 +46,7 @@ def test_specials_and_text_round_trip(spark, pre, tmp_path):
     vocab = {r["token"]: r["global_id"] for r in t.vocab(spark).collect()}
     assert [vocab[x] for x in ("<pad>", "<bos>", "<eos>", "<sep>", "<unk>")] == list(range(5))
     assert len(vocab) == t.vocab_size and sorted(vocab.values()) == list(range(t.vocab_size))
-    sample = "<bos> AMT_0 MERCH_NAME_0 <sep> AMT_1 <eos>"
+    sample = "<bos> MERCH_NAME_17 PERIOD_2 <sep> AMT_3 DOW_6 <sep> AMT_0 <eos>"
     df = spark.createDataFrame([(sample,)], "text string")
     ids = t.encode_text(df).first()["input_ids"]
     assert ids == [vocab[w] for w in sample.split()] and ids[0] == 1 and ids[-1] == 2
@@ -55,7 +55,7 @@ def test_specials_and_text_round_trip(spark, pre, tmp_path):
     again = Tokens.load(spark, path)
     assert again == t and again.vocab_size == t.vocab_size
     assert again.encode_text(df).first()["input_ids"] == ids
-    assert again.decode_ids(again.encode_text(df, max_length=9).drop("text")).first()["text"] == sample
+    assert again.decode_ids(again.encode_text(df, max_length=12).drop("text")).first()["text"] == sample
     # The edges come back too, so new rows are binned as in training.
     assert [r[0] for r in again.transform(pre, ["seq_order"]).orderBy("seq_order").select("tok_AMT").collect()] == [
         r[0] for r in t.transform(pre, ["seq_order"]).orderBy("seq_order").select("tok_AMT").collect()
@@ -110,9 +110,25 @@ def test_long_label_lists_give_the_same_ids(spark, monkeypatch, tmp_path, litera
         assert {r["k"]: r["input_ids"] for r in e.collect()} == want and {r["other"] for r in e.collect()} == {"x", "y", "z"}
         text = {r["k"]: r["text"] for r in x.decode_ids(e.drop("text"), keys=["k"]).collect()}
         assert text == {1: "<bos> C_v3 I_7 <sep> C_v0 C_UNK <unk> <unk> <eos>", 2: "C_v3", 3: ""}
-        if collect == 4:
-            with pytest.raises(ValueError, match="key columns"):
-                x.encode_text(lines)
+        # Without keys the rows get one of their own.
+        assert sorted(map(tuple, x.encode_text(lines, max_length=10).select("k", "input_ids").collect())) == sorted((k, v) for k, v in want.items())
+        one = spark.createDataFrame([(w,) for w in ["C_v3", "C_UNK", "C_zz", "I_7", "<sep>", None]], "w string")
+        assert {r["w"]: r["id"] for r in x.with_ids(one, "w").collect()} == {"C_v3": vocab["C_v3"], "C_UNK": vocab["C_UNK"], "C_zz": 4, "I_7": vocab["I_7"], "<sep>": 3, None: 4}
+        clm = corpus.clm_dataset(lines, x, 10).orderBy("k").collect()
+        assert [r["input_ids"] for r in clm] == [want[1], want[2], want[3]]
+
+
+@pytest.mark.parametrize("collect", [100_000, 1])
+def test_a_label_equal_to_the_default_keeps_its_place(spark, monkeypatch, collect):
+    monkeypatch.setattr(S, "LITERAL_LABELS", 1)
+    monkeypatch.setattr(S, "COLLECT_LABELS", collect)
+    df = spark.createDataFrame([("Z",), ("UNK",), ("A",), (None,)], "c string")
+    t = Tokens((S.MapStep("c", "C"),)).fit(df)
+    new = spark.createDataFrame([("A",), ("Z",), ("UNK",), ("new",), (None,)], "c string")
+    got = {r["c"]: r["input_ids"] for r in t.encode(new, 1, add_special=False).collect()}
+    assert got == {"A": [5], "UNK": [6], "Z": [7], "new": [6], None: [6]}
+    text = spark.createDataFrame([("C_A C_UNK C_Z C_new",)], "text string")
+    assert t.encode_text(text).first()["input_ids"] == [5, 6, 7, 4]
 
 
 def test_errors(spark, pre):
