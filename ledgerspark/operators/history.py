@@ -54,8 +54,7 @@ def last_n(df: DataFrame, keys: list[str], order: list[Column], n: int = 512, ho
     if not hot:
         return take(df)
     named = [F.col(k).alias(f"_h_{k}") for k in keys]
-    # One row per hot key.
-    large = F.broadcast(df.sparkSession.createDataFrame(hot.rows, hot.schema).select(*named, F.col("_n").alias("_total")))
+    large = hot.side(hot.table.select(*named, F.col("_n").alias("_total")), hot_rows)
     same = F.lit(True)
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_h_{k}"))

@@ -5,42 +5,44 @@ without keys puts the whole table there. ``ordered_scan`` first looks for keys
 above a row limit. Without any, it is one plain window (one shuffle). Otherwise the
 rows of the large keys are cut into ordered parts at sampled boundaries, every part
 is scanned on its own, and the few totals per part (rows, sums, last values) are
-carried into the following part by a broadcast of one row per part. Results are
+carried into the following part by a join of one row per part. Results are
 the same either way: the boundaries only decide where the work is cut.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..session import materialize
 
-HOT_ROWS = 1_000_000      # rows of one key that still count as one task's work
-MAX_HOT_KEYS = 20_000     # more keys than this above the limit: each is < 1/20000 of the rows
+HOT_ROWS = 1_000_000       # rows of one key that still count as one task's work
 SAMPLE_PER_PART = 20
-MAX_PARTS = 65_536
+BROADCAST_PARTS = 65_536   # parts of all hot keys up to which boundaries are sent to every task
 
 
 @dataclass
 class HotKeys:
-    """Keys above the row limit with their row counts (at most MAX_HOT_KEYS)."""
+    """Keys above the row limit with their row counts: a stored table (keys, ``_n``)."""
 
     keys: list[str]
-    schema: T.StructType
-    rows: list = field(default_factory=list)
+    table: DataFrame | None = None
+    count: int = 0
+    rows: int = 0  # of all hot keys together
 
     def __bool__(self) -> bool:
-        return bool(self.rows)
+        return self.count > 0
+
+    def side(self, df: DataFrame, hot_rows: int) -> DataFrame:
+        """``df`` with a row per key or part, sent to every task while there are few."""
+        return F.broadcast(df) if self.count + self.rows // max(hot_rows, 1) <= BROADCAST_PARTS else df
 
 
 # For rows already limited to a fixed number per key.
-NO_HOT_KEYS = HotKeys([], T.StructType([]))
+NO_HOT_KEYS = HotKeys([])
 
 
 def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> HotKeys:
@@ -50,8 +52,9 @@ def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> H
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
     )
-    rows = counts.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
-    return HotKeys(keys, counts.schema, rows)
+    table = materialize(counts, "hot_keys")
+    facts = table.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
+    return HotKeys(list(keys), table, facts["k"], facts["n"])
 
 
 def _order_struct(order: list[Column]) -> Column:
@@ -60,34 +63,22 @@ def _order_struct(order: list[Column]) -> Column:
 
 def _cut_points(df: DataFrame, hot: HotKeys, order: Column, hot_rows: int) -> DataFrame:
     """(keys, cuts array<array<struct>>): ordered boundaries per hot key, two levels deep
-    so that locating a part takes about 2*sqrt(parts) comparisons."""
-    spark = df.sparkSession
-    total = sum(r["_n"] for r in hot.rows)
-    per_part = max(hot_rows, total // (MAX_PARTS // 2))
-    fraction = min(1.0, SAMPLE_PER_PART / per_part)
-    hot_df = F.broadcast(
-        spark.createDataFrame(hot.rows, hot.schema).select(*[F.col(k).alias(f"_h_{k}") for k in hot.keys], F.lit(1).alias("_hot"))
-    )
-    picked = df.select(*hot.keys, order.alias("_o"))
+    so that locating a part takes about 2*sqrt(parts) comparisons. They come from a sample of
+    SAMPLE_PER_PART rows for each part, gathered per key by Spark."""
+    fraction = min(1.0, SAMPLE_PER_PART / hot_rows)
+    named = [F.col(k).alias(f"_h_{k}") for k in hot.keys]
+    parts = F.greatest(F.lit(2), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_parts")
+    hot_df = hot.side(hot.table.select(*named, parts), hot_rows)
+    same = lambda other: _null_safe_all([(F.col(f"{other}{k}"), F.col(f"_h_{k}")) for k in hot.keys])
+    picked = df.select(*[F.col(k).alias(f"_s_{k}") for k in hot.keys], order.alias("_o"))
     if hot.keys:
-        cond = _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in hot.keys])
-        picked = picked.join(hot_df, cond, "left_semi")
-    sample = picked.sample(fraction, seed=7).collect() if fraction < 1 else picked.collect()
-    by_key = defaultdict(list)
-    for r in sample:
-        by_key[tuple(r[k] for k in hot.keys)].append(r["_o"])
-    rows = []
-    for h in hot.rows:
-        key = tuple(h[k] for k in hot.keys)
-        seen = by_key.get(key, [])
-        rows.append((*key, seen, max(2, -(-h["_n"] // per_part))))
-    o_type = picked.schema["_o"].dataType
-    schema = T.StructType(
-        [T.StructField(k, df.schema[k].dataType) for k in hot.keys]
-        + [T.StructField("_seen", T.ArrayType(o_type)), T.StructField("_parts", T.IntegerType())]
-    )
+        picked = picked.join(hot_df, same("_s_"), "left_semi")
+    picked = picked.sample(fraction, seed=7) if fraction < 1 else picked
+    seen = picked.groupBy(*[f"_s_{k}" for k in hot.keys]).agg(F.collect_list("_o").alias("_seen"))
+    flat = hot.table.select(*named, parts).join(seen, same("_s_"), "left") if hot.keys else hot.table.select(parts).crossJoin(F.broadcast(seen))
     # Spark's own ordering decides what "sorted" means, so it matches the scan's.
-    flat = spark.createDataFrame(rows, schema).withColumn("_seen", F.array_sort("_seen"))
+    empty = F.array().cast(seen.schema["_seen"].dataType)
+    flat = flat.withColumn("_seen", F.array_sort(F.coalesce("_seen", empty)))
     every = F.greatest(F.lit(1), F.floor(F.size("_seen") / F.col("_parts"))).cast("int")
     flat = flat.withColumn(
         "_flat", F.array_distinct(F.filter("_seen", lambda _, i: (i + 1) % every == 0))
@@ -97,7 +88,9 @@ def _cut_points(df: DataFrame, hot: HotKeys, order: Column, hot_rows: int) -> Da
         F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("_flat") - 1) / width)).cast("int")),
         lambda i: F.slice("_flat", i * width + 1, width),
     )
-    return flat.select(*hot.keys, F.filter(nested, lambda g: F.size(g) > 0).alias("_cuts"))
+    cuts = flat.select(*[F.col(f"_h_{k}").alias(k) for k in hot.keys], F.filter(nested, lambda g: F.size(g) > 0).alias("_cuts"))
+    # Stored: parts must be the same wherever they are looked up.
+    return materialize(cuts, "cuts")
 
 
 def _null_safe_all(pairs) -> Column:
@@ -143,9 +136,9 @@ def ordered_scan(
     out_cols = df.columns
     renamed = cuts.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_cuts")
     tagged = df.withColumn("_o", o_struct)
-    # One row per hot key, at most MAX_HOT_KEYS of them with MAX_PARTS boundaries in all.
+    # One row per hot key with a boundary for each part.
     tagged = tagged.join(
-        F.broadcast(renamed), _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in keys]), "left"
+        hot.side(renamed, hot_rows), _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in keys]), "left"
     )
     tagged = tagged.withColumn(
         "_part", F.when(F.col("_cuts").isNull(), -1).otherwise(_locate(F.col("_cuts"), F.col("_o")))
@@ -171,9 +164,9 @@ def ordered_scan(
         F.lag("_last").over(w).alias("_carry"),
     )
     scanned = _scan_plain(tagged, part_keys, order, "_pos", previous, sums)
-    # One row per part: bounded by MAX_PARTS plus one per hot key.
+    # One row per part.
     scanned = scanned.join(
-        F.broadcast(offsets), _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in part_keys]), "left"
+        hot.side(offsets, hot_rows), _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in part_keys]), "left"
     )
     new = {}
     if position:

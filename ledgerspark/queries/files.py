@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import corpus, expand, tokens as T
-from ..operators.split import temporal_split_date
+from ..operators.split import temporal_split_date, with_date
 from ..operators.metrics import evaluate, predictions, row_cross_entropy
 from ..operators.vectors import embedding_metadata
 from ..plans import card, jobs, ndjson
@@ -115,16 +115,20 @@ def sink_vocab(spark, sf):
     return T.Tokens.load(spark, path).vocab(spark).select("token", "global_id")
 
 
-@query(with_("nd_all nd_all_edges", "SELECT (unnest(range(21)) )::INT AS i, round(unnest(e), 6) AS edge FROM nd_all_edges"))
+@query(with_("nd_all nd_all_edges nd_vocab", """
+SELECT (unnest(range(21)))::INT AS i, round(unnest(e), 6) AS edge, (SELECT count(*) FROM nd_vocab) AS n_tokens,
+  (SELECT count(*) FROM nd_vocab WHERE token LIKE 'MCC_%') AS n_types FROM nd_all_edges
+"""))
 def scan_vocab(spark, sf):
-    rows = ndjson.clean_ndjson(stored_rows(spark, sf))
-    fitted = ndjson.ndjson_steps(hash="md5", time_delta=False).fit(rows)
+    """Edges and labels of a saved step list, loaded again."""
+    rows = ndjson.clean_ndjson(stored_rows(spark, sf)).withColumn("time_delta_s", F.lit(0.0))
     path = fresh_path(spark, "vocab")
-    fitted.save(spark, path)
-    edges = spark.read.parquet(path).where("pos = 0").select(
-        F.posexplode(F.from_json(F.get_json_object("params", "$.edges"), "array<double>")).alias("i", "edge")
-    )
-    return edges.select("i", F.round("edge", 6).alias("edge"))
+    ndjson.ndjson_steps(hash="md5").fit(rows).save(spark, path)
+    loaded = T.Tokens.load(spark, path)
+    counts = loaded.vocab(spark).agg(F.count(F.lit(1)).alias("n_tokens"), F.count_if(F.col("token").startswith("MCC_")).alias("n_types"))
+    edges = F.array(*[F.lit(e) for e in loaded.steps[0].edges])
+    out = counts.select("n_tokens", "n_types", F.posexplode(edges).alias("i", "edge"))
+    return out.select("i", F.round("edge", 6).alias("edge"), "n_tokens", "n_types")
 
 
 @query(with_("v_pred", """
@@ -188,7 +192,7 @@ def concat_files(spark, sf):
 def split_disjoint_complete(spark, sf):
     s, _ = temporal_split_date(views.card(spark, sf))
     seen = s.groupBy("row_id").agg(F.count_distinct("split").alias("k"), F.count(F.lit(1)).alias("n"))
-    dated = views.card(spark, sf).where(F.col("row_id") % 1009 != 0).select("row_id")
+    dated = with_date(views.card(spark, sf)).where(F.col("date").isNotNull()).select("row_id")
     missing = dated.join(seen, "row_id", "left_anti").agg(F.count(F.lit(1)).alias("n_missing"))
     sums = seen.agg(F.count_if(F.col("k") > 1).alias("n_overlap"), F.sum("n").alias("n_rows"), F.lit(1).alias("j"))
     return sums.join(missing.withColumn("j", F.lit(1)), "j").select("n_overlap", "n_missing", "n_rows")

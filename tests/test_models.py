@@ -179,3 +179,22 @@ def test_model_table(spark):
     got = {x["pos"]: x for x in r.collect()}
     assert [got[i]["best_auc"] for i in range(3)] == [False, True, False] and got[1]["best_ap"]
     assert got[1]["auc_lift_pct"] == pytest.approx(12.5) and got[2]["ap_lift_pct"] == pytest.approx(-25.0) and got[0]["metrics_agree"]
+
+
+@pytest.mark.parametrize("slice_rows", [sampling.SLICE_ROWS, 1])
+@pytest.mark.parametrize("literal", [sampling.LITERAL_CLASSES, 0])
+def test_samples_neither_join_nor_shuffle_the_rows(spark, monkeypatch, slice_rows, literal):
+    monkeypatch.setattr(sampling, "LITERAL_CLASSES", literal)
+    df = spark.range(3000).select(F.col("id").alias("row_id"), (F.col("id") % 3 == 0).cast("int").alias("y"), F.lit("x").alias("wide"))
+    quotas = lambda counts: counts.select("stratum", (F.lit(100) + F.coalesce("stratum", F.lit(0))).cast("bigint").alias("quota"))
+    got = sampling.take_exact(df, quotas, F.col("y"), ["row_id"], slice_rows=slice_rows)
+    key = sampling.shuffle_key(42, "row_id")
+    want = [r["row_id"] for y, n in ((0, 100), (1, 101)) for r in df.where(F.col("y") == y).orderBy(key).limit(n).collect()]
+    assert sorted(r["row_id"] for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Exchange hashpartitioning" not in plan and "CartesianProduct" not in plan
+    if literal:
+        assert "Join" not in plan
+        uniform = sampling.uniform_subset(df, 50)
+        plan = uniform._jdf.queryExecution().executedPlan().toString()
+        assert uniform.count() == 50 and "Join" not in plan and "Exchange" not in plan.replace("ShuffleQueryStage", "")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerspark.operators import history
+from ledgerspark.operators import history, ordered
 from ledgerspark.operators.ordered import find_hot_keys, global_rank, ordered_scan, quantiles
 
 
@@ -45,7 +45,15 @@ def test_hot_key_is_split_over_tasks(skewed):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "_part" in plan
     hot = find_hot_keys(skewed, ["user"], 200)
-    assert [r["user"] for r in hot.rows] == [1]
+    assert [r["user"] for r in hot.table.collect()] == [1] and hot.count == 1
+
+
+def test_many_hot_keys_are_joined_by_shuffle(skewed, monkeypatch):
+    order = [F.col("ts").isNull(), F.col("ts"), F.col("row_id")]
+    want = sorted(map(tuple, ordered_scan(skewed, ["user"], order, position="pos").select("row_id", "pos").collect()))
+    monkeypatch.setattr(ordered, "BROADCAST_PARTS", 0)
+    got = ordered_scan(skewed, ["user"], order, position="pos", hot_rows=2)
+    assert sorted(map(tuple, got.select("row_id", "pos").collect())) == want
 
 
 def test_no_hot_key_means_one_shuffle(skewed):
@@ -95,6 +103,15 @@ def test_last_n_limits_before_the_shuffle(skewed):
     assert got.where("user = 1").count() == 3
 
 
+@pytest.mark.parametrize("n", [1, 3, 200, 5000])
+def test_last_n_of_a_large_key_is_found_in_parts(skewed, n):
+    order = [F.col("ts"), F.col("row_id")]
+    rows = lambda d: sorted(r["row_id"] for r in d.collect())
+    got = history.last_n(skewed, ["user"], order, n, hot_rows=150)
+    assert rows(got) == rows(history.last_n(skewed, ["user"], order, n)) and got.columns == skewed.columns
+    assert "_cuts" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_last_n_of_short_arrays(spark):
     df = spark.createDataFrame([([1, 2],), ([1, 2, 3, 4],), ([],)], "a array<int>")
     assert [r[0] for r in df.select(history.last_n_of_array(F.col("a"), 3)).collect()] == [[1, 2], [2, 3, 4], []]
