@@ -75,7 +75,10 @@ def _cut_points(df: DataFrame, hot: HotKeys, order: Column, hot_rows: int) -> Da
         picked = picked.join(hot_df, same("_s_"), "left_semi")
     picked = picked.sample(fraction, seed=7) if fraction < 1 else picked
     seen = picked.groupBy(*[f"_s_{k}" for k in hot.keys]).agg(F.collect_list("_o").alias("_seen"))
-    flat = hot.table.select(*named, parts).join(seen, same("_s_"), "left") if hot.keys else hot.table.select(parts).crossJoin(F.broadcast(seen))
+    if hot.keys:
+        flat = hot.table.select(*named, parts).join(seen, same("_s_"), "left")
+    else:
+        flat = seen.withColumn("_parts", F.lit(max(2, -(-hot.rows // hot_rows))))
     # Spark's own ordering decides what "sorted" means, so it matches the scan's.
     empty = F.array().cast(seen.schema["_seen"].dataType)
     flat = flat.withColumn("_seen", F.array_sort(F.coalesce("_seen", empty)))
