@@ -28,9 +28,8 @@ from .words import mix, running_sum
 LENGTH = 400
 GRAM = 16
 SEGMENT = 8 << 20       # a longer text is taken in segments that overlap by one string
-SHARD_BYTES = 2 << 20   # text of one suffix array
+SHARD_BYTES = 512 << 10  # text of one suffix array
 HOT_STRETCHES = 20_000  # different stretches of an anchor above which strings are counted by digest
-BROADCAST_BYTES = 64 << 20
 
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE_BITS = 24
@@ -107,19 +106,18 @@ def _found(docs: DataFrame, id: str, text: str, length: int) -> DataFrame:
     return slim.mapInArrow(run, f"doc {id_type}, h long, start long, n int, anchor long, digest long")
 
 
-def _with_lists(docs: DataFrame, lists: DataFrame, id: str, text: str, how: str, bytes_: int) -> DataFrame:
-    """``doc``, ``h``, ``text`` and the lists of ``lists``, which are sent to the texts if small."""
+def _with_lists(docs: DataFrame, lists: DataFrame, id: str, text: str, how: str) -> DataFrame:
+    """``doc``, ``h``, ``text`` and the lists of ``lists``: they grow with the texts, so both are
+    dealt out by the texts' hash."""
     slim = docs.select(F.col(id).alias("doc"), F.xxhash64(text).alias("h"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     side = lists.withColumnsRenamed({"doc": "_doc", "h": "_h"})
-    side = F.broadcast(side) if bytes_ <= BROADCAST_BYTES else side
     return slim.join(side, (F.col("h") == F.col("_h")) & F.col("doc").eqNullSafe(F.col("_doc")), how).drop("_doc", "_h")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length: int) -> DataFrame:
     """``anchor``, ``digest``, ``w``, ``n`` and the bytes of every wanted stretch."""
-    n_rows = wanted.count()
     lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("anchor", "digest", "w", "start", "n")).alias("parts"))
-    joined = _with_lists(docs, lists, id, text, "inner", n_rows * 60)
+    joined = _with_lists(docs, lists, id, text, "inner")
     # Rows with the same id and text are one place, so a part may come from several rows.
     joined = joined.select("text", "parts")
 
@@ -219,7 +217,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     different = materialize(shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("w"), place).select("anchor", "digest", "w", "p.*"), "different")
     per_anchor = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select(F.col("anchor").alias("_a"), "k")
     counted = different.join(per_anchor, F.col("anchor") == F.col("_a"))
-    texts = _texts(docs, materialize(counted.drop("_a"), "wanted"), id, text, length)
+    texts = _texts(docs, counted.drop("_a"), id, text, length)
     busy = per_anchor.where(F.col("k") > hot).select("_a")
     if busy.isEmpty():
         solved = _by_array(texts, length, shard_bytes)
@@ -241,9 +239,9 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", len
     starts anywhere else, in any text or place, is removed; matches never cross texts. A null
     text is empty. Rows repeated whole repeat each other's strings, also under one id.
     """
-    runs = materialize(repeated_spans(docs, id, text, length, **kw), "runs")
-    size = runs.agg(F.coalesce(F.sum(F.size("runs") * 16 + 24), F.lit(0)).alias("b")).first()["b"]
-    joined = _with_lists(docs, runs, id, text, "left", size).select("doc", "text", "runs")
+    # Not stored: in one plan, this join and the one that fetched the stretches share one deal of the texts.
+    runs = repeated_spans(docs, id, text, length, **kw)
+    joined = _with_lists(docs, runs, id, text, "left").select("doc", "text", "runs")
     span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):

@@ -139,8 +139,8 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
     j = before[i]
     length = np.zeros(n, np.int64)
     step = 8
+    # The last symbol occurs once, so no two suffixes agree beyond it.
     data = np.concatenate([s, np.zeros(step, s.dtype)])
-    pad = n
     live = np.arange(len(i))
     shared = np.zeros(len(i), np.int64)
     while len(live):
@@ -148,7 +148,7 @@ def permuted_prefixes(s: np.ndarray, sa: np.ndarray) -> np.ndarray:
         equal = np.ones(len(live), np.int64)
         gain = np.zeros(len(live), np.int64)
         for k in range(step):
-            equal &= (data[np.minimum(a + k, pad)] == data[np.minimum(b + k, pad)]) & (a + k < n) & (b + k < n)
+            equal &= data[a + k] == data[b + k]
             gain += equal
         shared[live] += gain
         live = live[gain == step]
