@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
@@ -27,7 +29,25 @@ def op9_token_files(spark, sf):
     return token_files.read_tokens(spark, path)
 
 
-@query()
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(sql=f"""
+    WITH item AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+    win AS (
+      SELECT DISTINCT item_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS t
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM item)),
+    doc AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+    here AS (
+      SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS t
+      FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc JOIN (SELECT DISTINCT n FROM win) ON len(w) >= n)),
+    hit AS (SELECT r, n, i, item_id FROM here JOIN win USING (n, t)),
+    place AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+    found AS (
+      SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS id FROM hit) GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+      sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM doc LEFT JOIN place USING (r) LEFT JOIN found USING (r)""")
 def op8_decontaminate(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     marked = decontaminate.mark(docs, table(spark, sf, "benchmark"), keep_text=False)
@@ -44,7 +64,19 @@ def op7_mix_sources(spark, sf):
     return plan.select("doc_id", "source", "n_rows", "n_bytes", "block", "release", "deadline", "slot")
 
 
-@query()
+@query(sql=r"""
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS x(i, r)),
+    e AS (
+      SELECT *, length('<|im_start|>' || chr(10) || '<|im_end|>' || chr(10)) + length(text) + len(regexp_extract_all(text, '<\\*\|'))
+        + length(shown) + len(regexp_extract_all(shown, '<\\*\|')) AS n
+      FROM (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS shown FROM t))
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(n)::BIGINT AS formatted_chars
+    FROM e GROUP BY conv_id""")
 def op10_chat_tree(spark, sf):
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
