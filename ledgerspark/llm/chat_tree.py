@@ -26,7 +26,7 @@ from ..session import materialize
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED_ROLE = "assistant"
-RANK_ROWS = 100_000  # conversations one task ranks
+RANK_ROWS = 8_000  # conversations one task ranks
 
 _CONTROL = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
