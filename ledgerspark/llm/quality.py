@@ -23,7 +23,7 @@ from .words import BYTE_VALUE, WORD_BYTE, mix, running_sum
 
 BUCKET_BITS = 18
 FIT_ROWS = 10_000           # labelled rows (about) that the linear model is fitted on; counts use all
-LABEL_ROWS = 4_000_000      # labels sent to every task up to here, joined by shuffle beyond
+LABEL_ROWS = 1_000_000      # labels sent to every task up to here, joined by shuffle beyond
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 20
