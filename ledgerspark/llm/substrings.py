@@ -211,11 +211,12 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     ``h`` is the text's hash; rows with the same id and text share a row here.
     """
     found = materialize(_found(docs, id, text, length), "stretches")
-    anchors = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("anchor").alias("_a"))
+    # Stored, so that both sides of the join are plain shuffles, whose large keys Spark can split.
+    anchors = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("anchor").alias("_a")), "anchors")
     shared = materialize(found.join(anchors, F.col("anchor") == F.col("_a")).select(*found.columns), "shared")
     place = F.min(F.struct("doc", "h", "start", "n")).alias("p")
     different = materialize(shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("w"), place).select("anchor", "digest", "w", "p.*"), "different")
-    per_anchor = different.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select(F.col("anchor").alias("_a"), "k")
+    per_anchor = materialize(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select(F.col("anchor").alias("_a"), "k"), "counts")
     counted = different.join(per_anchor, F.col("anchor") == F.col("_a"))
     texts = _texts(docs, counted.drop("_a"), id, text, length)
     busy = per_anchor.where(F.col("k") > hot).select("_a")
