@@ -52,8 +52,8 @@ def find_hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> H
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > hot_rows)
     )
-    table = materialize(counts, "hot_keys")
-    facts = table.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
+    facts = counts.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()
+    table = materialize(counts, "hot_keys") if facts["k"] else None
     return HotKeys(list(keys), table, facts["k"], facts["n"])
 
 
