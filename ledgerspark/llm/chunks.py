@@ -105,7 +105,8 @@ def remove_repeated_chunks(docs: DataFrame, id: str = "doc_id", text: str = "tex
     chunks = materialize(chunked(docs, id, text), "chunks")
     of_text = chunks.groupBy("doc", "h").agg(F.count_if(F.expr("start = 0")).alias("rows"), F.sum("n").alias("bytes"), F.count_if(F.expr("n > 0")).alias("chunks"))
     groups = chunks.where("counts").groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc", "h", "start")).alias("first"))
-    groups = groups.where("c > 1").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "first")
+    # Stored, so that both sides of the join are plain shuffles, whose large keys Spark can split.
+    groups = materialize(groups.where("c > 1").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "first"), "groups")
     here = F.struct("doc", "h", "start")
     hit = chunks.where("counts").join(groups, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")))
     hit = hit.select("doc", "h", F.struct("start", "n", (here != F.col("first")).alias("later")).alias("part")).distinct()
