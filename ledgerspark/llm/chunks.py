@@ -19,24 +19,31 @@ from .texts import pieces
 
 GEAR = np.random.default_rng(20160622).integers(0, 2**32, 256, dtype=np.uint32)
 WINDOW = 32      # bytes that decide about a border
-CUT_BITS = 5     # a border about every 32 bytes after the least size
-LEAST, MOST = 32, 256
+CUT_BITS = 4     # a border about every 16 bytes after the least size
+LEAST, MOST = 16, 256
 LEAST_RUN = 80   # bytes of repeated chunks in a row that make a passage
 
 
-def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """Sum of the last 32 gear values, each shifted by its distance, by doubling the reach."""
+def gear_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sum of the last 32 gear values of the text, each shifted by its distance, by doubling the reach."""
     h, reach = GEAR[data], 1
     while reach < WINDOW:
         ahead = h.copy()
         ahead[reach:] += h[:-reach] << np.uint32(reach)
         h, reach = ahead, reach * 2
+    # The first bytes of a text do not see the text before it.
+    start, stop, own = offsets[:-1], offsets[1:], np.zeros(len(offsets) - 1, np.uint32)
+    for k in range(WINDOW - 1):
+        on = start + k < stop
+        start, stop = start[on], stop[on]
+        own = (own[on] << np.uint32(1)) + GEAR[data[start + k]]
+        h[start + k] = own
     return h
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, end) of the chunks of every text; an empty text has none."""
-    cand = np.flatnonzero((gear_hashes(data) >> np.uint32(32 - CUT_BITS)) == 0) + 1
+    cand = np.flatnonzero((gear_hashes(data, offsets) >> np.uint32(32 - CUT_BITS)) == 0) + 1
     at = np.searchsorted(cand, offsets)
     ends: list[int] = []
     count = np.zeros(len(offsets) - 1, np.int64)
@@ -109,8 +116,8 @@ def remove_repeated_chunks(docs: DataFrame, id: str = "doc_id", text: str = "tex
     groups = materialize(groups.where("c > 1").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), "first"), "groups")
     here = F.struct("doc", "h", "start")
     hit = chunks.where("counts").join(groups, (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")))
-    hit = hit.select("doc", "h", F.struct("start", "n", (here != F.col("first")).alias("later")).alias("part")).distinct()
-    lists = hit.groupBy("doc", "h").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    hit = hit.select("doc", "h", F.struct("start", "n", (here != F.col("first")).alias("later")).alias("part"))
+    lists = hit.groupBy("doc", "h").agg(F.array_sort(F.collect_set("part")).alias("parts"))
     joined = of_text.join(lists.withColumnsRenamed({"doc": "_doc", "h": "_h"}), (F.col("h") == F.col("_h")) & F.col("doc").eqNullSafe(F.col("_doc")), "left")
 
     def run(batches):

@@ -9,7 +9,7 @@ import pytest
 
 from ledgerspark.llm import chunks, substrings, suffix_sort
 
-from .helpers import awkward_docs, no_docs
+from .helpers import awkward_docs, no_docs, prose
 
 
 @pytest.mark.parametrize("symbols", [1, 48])
@@ -123,3 +123,17 @@ def test_an_insertion_changes_the_chunks_around_it_alone():
     t = bytes(random.Random(1).choice(b"abcdefgh ") for _ in range(20_000))
     cut = lambda x: {x[a:b] for a, b in plain_chunks(x)}
     assert len(cut(t) - cut(t[:9000] + b"inserted" + t[9000:])) <= 6
+
+
+def test_passages_of_51_words_in_foreign_texts_are_found(spark):
+    rows, size = [], {}
+    for k in range(200):
+        passage = prose(10_000 + k, 51)
+        size[2 * k + 1] = len(passage.encode())
+        for i in (2 * k, 2 * k + 1):
+            rows.append((i, f"{prose(20_000 + i, 20 + i % 37)} {passage} {prose(30_000 + i, 20 + i % 41)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    gone = {r["doc_id"]: r["n_removed"] for r in chunks.remove_repeated_chunks(docs).collect()}
+    shares = [min(gone[i], n) / n for i, n in size.items()]
+    assert not any(gone[i] for i in range(0, 400, 2))
+    assert sum(s == 0 for s in shares) <= 4 and sum(shares) / len(shares) >= 0.72
