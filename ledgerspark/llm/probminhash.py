@@ -30,7 +30,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 REGISTERS = 193   # a prime, so that steps of any size meet every register once
 BANDS, ROWS = 32, 6  # a pair at 0.8 shares no band with probability 6e-5
-SLACK = 0.1       # below the threshold at which signatures still call for the exact check: over 3 deviations
+SLACK = 0.15      # below the threshold at which signatures still call for the exact check: misses a pair at 0.8 with probability 5e-7
 BUCKET = 2000     # texts of one bucket compared in a task; a larger bucket is joined whole
 BLOCK = 400       # texts of a coarse group in a block; two blocks are verified in one task
 BROADCAST_IDS = 2_000_000

@@ -105,6 +105,15 @@ def test_classes(spark, monkeypatch, limits):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*set(want.values()), *[None] * sum(i is None for i, _ in rows)])
 
 
+@pytest.mark.parametrize("seed", [2018, 4595, 5674])
+def test_pairs_at_the_threshold_with_a_low_estimate(spark, seed):
+    w = [f"w{seed}x{k}" for k in range(229)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:204] + [f"v{seed}x{k}" for k in range(25)]))]
+    assert plain_similarity(*[shingled(t) for _, t in rows]) == pytest.approx(0.8)
+    out = p.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r["class_id"] for r in out] == [1, 1]
+
+
 def test_no_documents(spark):
     assert p.near_duplicates(no_docs(spark)).count() == 0 and p.keep_one(no_docs(spark)).count() == 0
 
