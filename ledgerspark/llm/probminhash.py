@@ -139,11 +139,11 @@ class Forest:
 
 
 def _signed(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """``doc``, ``key`` (digest of the words), ``bands``, ``sig``; no bands without words."""
+    """``doc``, ``h`` (hash of the text), ``key`` (digest of the words), ``bands``, ``sig``; no bands without words."""
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in pieces(batch.column(1)):
+            for lo, hi, data, offsets in pieces(batch.column(2)):
                 hashes, counts = word_hashes(data, offsets)
                 sh, have = shingles(hashes, counts, SHINGLE)
                 regs = signatures(*weighted(sh, have))
@@ -158,13 +158,14 @@ def _signed(docs: DataFrame, id: str, text: str) -> DataFrame:
                 b, s = bands(regs), short(regs)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(lo, hi - lo), pa.array(names, pa.binary()),
+                        *[batch.column(k).slice(lo, hi - lo) for k in (0, 1)], pa.array(names, pa.binary()),
                         pa.array([x if c else None for x, c in zip(b, counts)], pa.list_(pa.int64())), pa.array([x.tobytes() for x in s], pa.binary()),
                     ],
-                    ["doc", "key", "bands", "sig"],
+                    ["doc", "h", "key", "bands", "sig"],
                 )
 
-    return docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long"), text).mapInArrow(run, "doc long, key binary, bands array<long>, sig binary")
+    slim = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long"), F.xxhash64(text), text)
+    return slim.mapInArrow(run, "doc long, h long, key binary, bands array<long>, sig binary")
 
 
 def _grouped(batches, keys: int):
@@ -268,35 +269,42 @@ def _verified_links(docs: DataFrame, groups: DataFrame, id: str, text: str, thre
     return dealt.mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``id``, ``class_id`` (the least id of its class), ``n_copies`` (rows with the same words).
-
-    One row per row of ``docs``. Classes are the components of links between texts of at least
-    ``threshold`` probability Jaccard similarity over five-word shingles, weighted by their
-    counts; a text of fewer words is one shingle. Texts without words (null, empty, marks
-    only) are alike only when equal. A null id takes no part and has a null class.
-    """
+def _classes(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
+    """``id``, ``h`` (hash of the text), ``class_id``, ``n_copies`` of the rows with an id."""
     signed = materialize(_signed(docs, id, text), "signed")
     unique = signed.groupBy("key").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"), F.first(F.struct("bands", "sig")).alias("s"))
     reps = materialize(unique.select("key", "doc", "n_copies", "s.bands", "s.sig"), "texts")
-    # A repeated id with differing texts stands for all of them: one node.
+    # Texts with the same least id are one node; a text with a lesser id elsewhere is in that one's class.
     groups = components(_coarse_links(reps, threshold))
     classes = components(_verified_links(docs, groups, id, text, threshold))
     named = reps.select("key", "n_copies", F.col("doc").alias("_rep")).join(classes, F.col("_rep") == F.col("node"), "left")
     named = named.select(F.col("key").alias("_key"), "n_copies", F.coalesce("component", "_rep").alias("class_id"))
-    out = signed.select("doc", "key").join(named, F.col("key") == F.col("_key")).select(F.col("doc").alias(id), "class_id", "n_copies")
+    return signed.select("doc", "h", "key").join(named, F.col("key") == F.col("_key")).select(F.col("doc").alias(id), "h", "class_id", "n_copies")
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """``id``, ``class_id`` (the least id of its class), ``n_copies`` (rows with the same words).
+
+    One row per row of ``docs``. Classes are the components of links between texts of at least
+    ``threshold`` probability Jaccard similarity over five-word shingles, weighted by their
+    counts; a text of fewer words is one shingle. Texts without words (null, empty, marks
+    only) are alike only when equal. A null id takes no part and has a null class. Rows with the
+    same id and differing texts may be in different classes.
+    """
+    out = _classes(docs, id, text, threshold).select(id, "class_id", "n_copies")
     gone = docs.where(F.col(id).isNull()).select(F.col(id).cast("long").alias(id), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(gone)
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each class, that of the least id; columns as they were. Of
-    several rows with that id one stays; rows without an id all stay."""
-    classes = materialize(near_duplicates(docs.select(id, text), id, text, threshold).where(F.col(id).isNotNull()), "classes")
-    ids = classes.groupBy(id).agg(F.min("class_id").alias("class_id"), F.count(F.lit(1)).alias("n"))
-    heads = materialize(ids.where(F.col(id) == F.col("class_id")).select(F.col(id).alias("_head"), "n"), "heads")
+    several rows of the class with that id one stays; rows without an id all stay."""
+    classes = materialize(_classes(docs.select(id, text), id, text, threshold), "classes")
+    # The least id's row may be in another class with another text: only the text of this class counts.
+    ids = classes.groupBy(id).agg(F.min(F.when(F.col(id) == F.col("class_id"), F.col("h"))).alias("_h"), F.count(F.lit(1)).alias("n"))
+    heads = materialize(ids.where("_h IS NOT NULL").select(F.col(id).alias("_head"), "_h", "n"), "heads")
     kept = docs.join(heads.where("n = 1"), F.col(id) == F.col("_head"), "left_semi")
     repeated = heads.where("n > 1")
     if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(repeated, F.col(id) == F.col("_head"), "left_semi").dropDuplicates([id]))
+        kept = kept.unionByName(docs.join(repeated, (F.col(id) == F.col("_head")) & (F.xxhash64(text) == F.col("_h")), "left_semi").dropDuplicates([id]))
     return kept.unionByName(docs.where(F.col(id).isNull()))

@@ -114,6 +114,13 @@ def test_pairs_at_the_threshold_with_a_low_estimate(spark, seed):
     assert [r["class_id"] for r in out] == [1, 1]
 
 
+def test_an_id_with_texts_of_two_classes(spark):
+    a, b = prose(40, 60), prose(41, 60)
+    docs = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b)], "doc_id long, text string").repartition(3)
+    assert {(r["doc_id"], r["text"]) for r in p.keep_one(docs).collect()} == {(2, a), (5, b)}
+    assert p.keep_one(docs).count() == 2
+
+
 def test_no_documents(spark):
     assert p.near_duplicates(no_docs(spark)).count() == 0 and p.keep_one(no_docs(spark)).count() == 0
 
