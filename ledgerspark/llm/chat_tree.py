@@ -7,8 +7,9 @@ earlier siblings' subtrees. A node carries its tokens, their position ids (count
 own path) and the stretches of the shard that it may attend to (its ancestors' tokens). Where
 a shard begins amid a subtree, the shared turns are written again, so that it stands alone.
 
-Nothing holds a whole conversation: turns stream through in order, and only the digests of
-the current path are kept.
+Nothing holds the texts of a whole conversation: turns stream through in order. What is kept
+of the current path (nodes, positions, intervals, running digests) and what ranking collects
+of a shared path grow with its turns, in one task's memory.
 """
 
 from __future__ import annotations
