@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
-from . import chat_tree, chunks, decontaminate, pfair, probminhash, quality, substrings, token_counts, token_files, voronoi
+from . import chat_tree, chunks, decontaminate, pfair, probminhash, quality, substrings, token_counts, token_files, url_rules, voronoi
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -121,3 +121,26 @@ def op2_voronoi_join(spark, sf):
 @query()
 def op3_chunk_dedup(spark, sf):
     return chunks.remove_repeated_chunks(table(spark, sf, "documents"))
+
+
+URL_RULES = [
+    url_rules.host_rule(url_rules.ALLOW, "com"), url_rules.host_rule(url_rules.BLOCK, "example.com", "/en/"),
+    url_rules.host_rule(url_rules.ALLOW, "www.example.com", "/en/"), url_rules.host_rule(url_rules.BLOCK, "net", "/es/"),
+    url_rules.host_rule(url_rules.BLOCK, "net", "/fr/"),
+]
+
+
+@query(sql=f"""
+    WITH rules(action, rule_host, rule_path) AS (VALUES
+      ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+    page AS (
+      SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    part AS (
+      SELECT r, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM page),
+    fit AS (
+      SELECT r, rule_host || rule_path AS rule, action, row_number() OVER (PARTITION BY r ORDER BY length(rule_host || rule_path) DESC) AS k
+      FROM part JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path))
+    SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (r)""")
+def op12_url_rules(spark, sf):
+    return url_rules.judge(table(spark, sf, "pages"), URL_RULES)
