@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
-from . import chat_tree, chunks, decontaminate, pfair, probminhash, quality, substrings, token_counts, token_files, url_rules, voronoi
+from . import chat_tree, chunks, decontaminate, pfair, prefix_trie, probminhash, quality, substrings, token_counts, token_files, url_rules, voronoi
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -144,3 +144,45 @@ URL_RULES = [
     SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM part LEFT JOIN (SELECT * FROM fit WHERE k = 1) USING (r)""")
 def op12_url_rules(spark, sf):
     return url_rules.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+# The unsigned crc32 of a list of bytes, by the table of its rule.
+_CRC_TABLE = """SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda c, x: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS t"""
+_CRC = "xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+HEAD_STEP, HEAD_KINDS = 20, 4
+
+
+@query(sql=rf"""
+    WITH tab AS ({_CRC_TABLE}),
+    said AS (
+      SELECT conv_id, turn, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS dg, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+      FROM conversations WHERE conv_id IS NOT NULL),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) - 1 AS pos FROM said),
+    c AS (
+      SELECT conv_id, conv_id - conv_id % {HEAD_STEP} AS base,
+        {_CRC.format("list_transform(range(1, length(conv_id::VARCHAR) + 1), lambda i: ord(substr(conv_id::VARCHAR, i, 1))::BIGINT)")} % {HEAD_KINDS} AS h
+      FROM (SELECT DISTINCT conv_id FROM p), tab),
+    r AS (
+      SELECT c.conv_id, pos, 0 AS own, dg, words FROM c JOIN p ON p.conv_id = base AND pos < h
+      UNION ALL SELECT conv_id, pos, 1, dg, words FROM c JOIN p USING (conv_id) WHERE pos >= h),
+    s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, dg, words FROM r),
+    path AS (
+      SELECT conv_id, depth, words, string_agg(dg, '') OVER (PARTITION BY conv_id ORDER BY depth) AS node FROM s
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+    node AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(words) AS words, count(*) AS n FROM path GROUP BY node),
+    kids AS (SELECT left(node, length(node) - 64) AS node, count(*) AS k FROM node WHERE depth > 0 GROUP BY 1),
+    own AS (SELECT node.*, coalesce(k, 0) AS k, CASE WHEN k IS NULL THEN 1 ELSE 0 END AS leaf, (n - 1) * words AS saved FROM node LEFT JOIN kids USING (node)),
+    total AS (
+      SELECT path.node, sum(leaf)::BIGINT AS leaves, sum(saved)::BIGINT AS saved
+      FROM own JOIN path ON own.conv_id = path.conv_id AND path.depth <= own.depth GROUP BY path.node),
+    ends AS (
+      SELECT node, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS h
+      FROM (SELECT conv_id, arg_max(node, depth) AS node FROM path GROUP BY conv_id) GROUP BY node)
+    SELECT own.conv_id, own.depth, up.conv_id AS parent_conv_id, own.n AS n_convs, own.k AS n_children, leaves AS n_leaves, total.saved AS saved_tokens,
+      coalesce(ends.h, sha256('')) AS ends_sha256
+    FROM own JOIN total USING (node) LEFT JOIN ends USING (node) LEFT JOIN node AS up ON own.depth > 0 AND up.node = left(own.node, length(own.node) - 64)""")
+def op11_prefix_trie(spark, sf):
+    rows = materialize(prefix_trie.turn_rows(table(spark, sf, "conversations")), "rows")
+    head = F.crc32(F.col("conv").cast("string").cast("binary")) % HEAD_KINDS
+    return prefix_trie.trie(*prefix_trie.with_borrowed_heads(rows, HEAD_STEP, head, HEAD_KINDS - 1))
