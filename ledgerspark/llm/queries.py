@@ -7,7 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import functions as F
 
 from ..session import fresh_path, materialize
-from . import chat_tree, chunks, decontaminate, pfair, prefix_trie, probminhash, quality, substrings, token_counts, token_files, url_rules, voronoi
+from . import chat_tree, chunks, decontaminate, pfair, prefix_trie, probminhash, quality, spelling, substrings, token_counts, token_files, url_rules, voronoi
 from .pieces_bpe import tokenizer_path
 from .registry import QUERIES, SQL, query, table  # noqa: F401
 
@@ -156,7 +156,8 @@ HEAD_STEP, HEAD_KINDS = 20, 4
 @query(sql=rf"""
     WITH tab AS ({_CRC_TABLE}),
     said AS (
-      SELECT conv_id, turn, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS dg, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS words
+      SELECT conv_id, turn, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS dg, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS words
       FROM conversations WHERE conv_id IS NOT NULL),
     p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) - 1 AS pos FROM said),
     c AS (
@@ -186,3 +187,31 @@ def op11_prefix_trie(spark, sf):
     rows = materialize(prefix_trie.turn_rows(table(spark, sf, "conversations")), "rows")
     head = F.crc32(F.col("conv").cast("string").cast("binary")) % HEAD_KINDS
     return prefix_trie.trie(*prefix_trie.with_borrowed_heads(rows, HEAD_STEP, head, HEAD_KINDS - 1))
+
+
+@query(sql=rf"""
+    WITH RECURSIVE tab AS ({_CRC_TABLE}),
+    run AS (
+      SELECT id, translate(r, '{ascii_uppercase}', '{ascii_lowercase}') AS r, count(*) AS k
+      FROM (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) AS r FROM documents) GROUP BY ALL),
+    hashed AS (
+      SELECT r, k, {_CRC.format("list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)")} AS h
+      FROM (SELECT r, k, hex(encode(id || ':' || r)) AS x FROM run), tab),
+    seen AS (SELECT CASE WHEN h % 31 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, k FROM hashed),
+    words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM seen WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+    cut AS MATERIALIZED (SELECT word, i, left(word, i - 1) || substr(word, i + 1) AS d FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+    longer AS (SELECT DISTINCT cut.word AS a, words.word AS b FROM cut JOIN words ON d = words.word),
+    pair AS (
+      SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.i = y.i AND x.d = y.d AND x.word <> y.word
+      UNION ALL SELECT a, b FROM longer UNION ALL SELECT b, a FROM longer),
+    ranked AS (
+      SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k, count(*) OVER (PARTITION BY a) AS near FROM pair JOIN words ON b = words.word),
+    formed AS MATERIALIZED (
+      SELECT word, words.n, coalesce(near, 0) AS n_near, CASE WHEN ranked.n >= 10 * words.n THEN b END AS form, CASE WHEN ranked.n >= 10 * words.n THEN ranked.n END AS form_n
+      FROM words LEFT JOIN ranked ON a = word AND k = 1),
+    chain AS (
+      SELECT word, coalesce(form, word) AS root, 0 AS steps FROM formed
+      UNION ALL SELECT chain.word, formed.form, steps + 1 FROM chain JOIN formed ON formed.word = root WHERE formed.form IS NOT NULL)
+    SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, steps) AS root FROM chain GROUP BY word) USING (word)""")
+def op13_spelling(spark, sf):
+    return spelling.spelling_variants(table(spark, sf, "documents"))
