@@ -40,11 +40,12 @@ BOX_CELLS = 4 << 20    # letters of a block, and of queries taken at once
 PART_WORDS = 65_536    # queries of a part
 HELD_WORDS = 100_000   # counted words a task holds before it passes them on
 ROUTED = 16_384        # words dealt out at once
-_LEAF = 64
+_LEAF = 32
 _LONG = 1 << 20
 
 _RUN = re.compile("[A-Za-zÀ-ÿ]{%d,}" % LEAST)
 DELETE_EVERY = 31
+KEY = ["length", "box", "block", "part"]  # one search: a block of a box against a part of its queries
 
 
 def noisy_words(id: str, runs: Counter) -> Counter:
@@ -219,17 +220,16 @@ class Box:
         down = int(codes.shape[1] == self.codes.shape[1])
         counts = letter_counts(codes)
         bits = unary(counts)
-        found = []
+        found = [(np.zeros(0, np.int64),) * 2]
         for leaf, rows in self.tree.reach(counts, 1, down):
             inside = self.tree.leaves[leaf]
             for part in np.array_split(rows, -(-len(rows) * len(inside) // _LONG)):
-                a, b = bits[part][:, None, :], self.bits[inside][None, :, :]
-                fit = (np.bitwise_count(b & ~a).sum(2) <= 1) & (np.bitwise_count(a & ~b).sum(2) <= down)
-                q, x = np.nonzero(fit)
+                # The distance of the first words of the vectors alone leaves few pairs.
+                q, x = np.nonzero(np.bitwise_count(bits[part, 0][:, None] ^ self.bits[inside, 0]) <= 1 + down)
                 found.append((part[q], inside[x]))
-        if not found:
-            return np.zeros(0, int), np.zeros(0, int)
         q, x = (np.concatenate(c) for c in zip(*found))
+        close = np.bitwise_count(bits[q] ^ self.bits[x]).sum(1) <= 1 + down
+        q, x = q[close], x[close]
         good = np.zeros(len(q), bool)
         step = max(1, BOX_CELLS // codes.shape[1])
         for k in range(0, len(q), step):
@@ -349,32 +349,36 @@ def _solved(dealt: DataFrame) -> DataFrame:
                             seen.add(other, word, asked[1][rows[k]])
 
         for batch in batches:
-            for key, query, word, n in zip(*[c.to_pylist() for c in batch.columns]):
+            keys = np.stack([batch.column(k).to_numpy() for k in range(len(KEY))], 1)
+            query = batch.column(len(KEY)).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1) | (query[1:] != query[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
+                if a == b:
+                    continue
+                key = tuple(keys[a])
+                words, n = (batch.column(len(KEY) + k).slice(a, b - a).to_pylist() for k in (1, 2))
                 if key != now:
-                    if asked[0] and box:
+                    if asked[0]:
                         ask()
                     now, data, box, asked = key, ([], []), None, ([], [])
-                if not query:
-                    data[0].append(word)
-                    data[1].append(n)
-                    continue
-                if box is None:
-                    if not data[0]:
-                        continue
-                    box = Box(*data)
-                asked[0].append(word)
-                asked[1].append(n)
-                if len(asked[0]) >= ROUTED:
-                    ask()
-                    asked = ([], [])
+                if not query[a]:
+                    data[0].extend(words)
+                    data[1].extend(n)
+                elif data[0]:
+                    box = box or Box(*data)
+                    asked[0].extend(words)
+                    asked[1].extend(n)
+                    if len(asked[0]) >= ROUTED:
+                        ask()
+                        asked = ([], [])
             if len(seen.held) >= HELD_WORDS:
                 yield seen.rows()
-        if asked[0] and box:
+        if asked[0]:
             ask()
         yield seen.rows()
 
-    keyed = dealt.repartition("key").sortWithinPartitions("key", "query")
-    return keyed.select("key", "query", "word", "n").mapInArrow(run, "word string, near long, m long, form string")
+    keyed = dealt.repartition(*KEY).sortWithinPartitions(*KEY, "query")
+    return keyed.select(*KEY, "query", "word", "n").mapInArrow(run, "word string, near long, m long, form string")
 
 
 def near_words(words: DataFrame, ratio: int = RATIO) -> DataFrame:
@@ -395,7 +399,7 @@ def near_words(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     # A query meets every block of its box, a word every part of the box's queries.
     both = both.withColumn("_other", F.explode(F.sequence(F.lit(0), F.when(F.col("query"), F.col("blocks")).otherwise(F.col("parts")) - 1)))
     block, part = F.when(F.col("query"), F.col("_other")).otherwise(F.col("_own")), F.when(F.col("query"), F.col("_own")).otherwise(F.col("_other"))
-    dealt = both.select(F.concat_ws("/", "length", "box", block, part).alias("key"), "query", "word", "n")
+    dealt = both.select("length", "box", block.alias("block"), part.alias("part"), "query", "word", "n")
     found = _solved(dealt).groupBy("word").agg(F.sum("near").alias("n_near"), F.min(F.struct("m", "form")).alias("_best"))
     best = F.when(-F.col("_best.m") >= ratio * F.col("n"), F.col("_best"))
     return words.select("word", "n").join(found, "word", "left").select(
