@@ -263,8 +263,9 @@ class _Seen:
 def _fit_trees(words: DataFrame) -> tuple[dict[int, Tree], dict[int, int]]:
     """A tree per length and the number of its first box, from at most ``FIT_WORDS`` words."""
     total = words.count()
-    # The hash order is an even sample, the same in every run.
-    sample = words.where(F.col("length") <= FIT_LENGTH).select("word").orderBy(F.xxhash64("word"), "word").limit(FIT_WORDS)
+    # The least hashes are an even sample, the same in every run.
+    slots = 1 << 32
+    sample = words.where((F.col("length") <= FIT_LENGTH) & (F.pmod(F.xxhash64("word"), F.lit(slots)) < slots * FIT_WORDS // max(total, 1))).select("word").limit(FIT_WORDS)
     by_length: dict[int, list[str]] = {}
     taken = 0
     for (w,) in sample.collect():
