@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import clean
 from ..operators import history
 from ..operators.ordered import global_prefix_sum as prefix_sum
 from ..operators.ordered import global_rank as rank_all
 from ..operators.ordered import ordered_scan
 from ..plans import card, ndjson
+from ..session import fresh_path
+from ..streaming.tokens import continued_rows, stream_card_gaps, stream_records
 from . import views
 from .features import rows, stored_rows
 from .registry import query
@@ -29,6 +32,43 @@ def time_delta_user(spark, sf):
     return ndjson.preprocess_ndjson(stored_rows(spark, sf)).select("user_id", "seq_order", F.round("time_delta_s", 6).alias("time_delta_s"))
 
 
+def drained(stream, out: str, checkpoint: str) -> None:
+    """Run the stream on what has arrived and stop; the next run goes on from its checkpoint."""
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+DELIVERIES = 3
+
+
+@query(with_("nd_all", "SELECT user_id, seq_order, round(time_delta_s, 6) AS time_delta_s, false AS late FROM nd_all"))
+def stream_time_delta_user(spark, sf):
+    """Histories that arrive in pieces of 20 transactions without places, in three deliveries; each
+    is read by a query that starts from the checkpoint of the one before."""
+    rec = F.floor(F.col("_pos") / 20)
+    lines = views.record_lines(spark, sf, pieces=rec, places=False).withColumn("_at", F.least(F.coalesce("_rec", F.lit(0)), F.lit(DELIVERIES - 1)))
+    folder, out, checkpoint = (fresh_path(spark, x) for x in ("pieces", "gaps", "offsets"))
+    for k in range(DELIVERIES):
+        lines.where(F.col("_at") == k).select("value").write.mode("append").text(folder)
+        drained(continued_rows(stream_records(spark, folder, pattern="*.txt")).select("user_id", "seq_order", "time_delta_s", "late"), out, checkpoint)
+    rows = spark.read.schema("user_id string, seq_order long, time_delta_s double, late boolean").parquet(out)
+    return rows.select("user_id", F.col("seq_order").cast("int").alias("seq_order"), F.round("time_delta_s", 6).alias("time_delta_s"), "late")
+
+
+@query(with_("card_pre", 'SELECT row_id, "user", card, pos, time_delta_s, false AS late FROM card_pre'))
+def stream_time_delta_card(spark, sf):
+    """Card rows that arrive in three deliveries, by year; those without a time in the last one."""
+    rows = views.card(spark, sf)
+    known = clean.timestamp_from_parts(F.col("Year"), F.col("Month"), F.col("Day"), F.col("Time")).isNotNull()
+    at = F.when(known & (F.col("Year") < 1997), 0).when(known & (F.col("Year") < 1999), 1).otherwise(2)
+    folder, out, checkpoint = (fresh_path(spark, x) for x in ("cards", "gaps", "offsets"))
+    for k in range(DELIVERIES):
+        rows.where(at == k).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        drained(stream_card_gaps(stream).select("row_id", "user", "card", "pos", "time_delta_s", "late"), out, checkpoint)
+    return spark.read.schema("row_id long, user long, card int, pos long, time_delta_s double, late boolean").parquet(out)
+
+
 @query(with_("card_pre", "SELECT row_id, pos FROM card_pre"))
 def cumcount(spark, sf):
     c = card.clean_card(views.card(spark, sf))

@@ -90,24 +90,26 @@ def _txn_json() -> Column:
     return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
 
 
-def record_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """``value``: one JSON line per user record."""
+def record_lines(spark: SparkSession, sf: str, pieces: Column | None = None, places: bool = True) -> DataFrame:
+    """``value``: one JSON line per user record. ``pieces`` numbers the records of a history by its
+    rows' ``_pos`` and adds that number (``_rec``); without ``places`` records do not say where they start."""
     ev = table(spark, sf, "events").select("user_id", "event_id", "ts", _txn_json().alias("txn"))
     ev = ev.withColumn("_time", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1000000.0))
     ev = ordered_scan(ev, ["user_id"], [F.col("ts"), F.col("event_id")], position="_pos", previous={"_prev": "_time"})
-    ev = ev.withColumn("_rec", F.floor(F.col("_pos") / RECORD_TXNS))
+    ev = ev.withColumn("_rec", F.floor(F.col("_pos") / RECORD_TXNS) if pieces is None else pieces)
     listed = F.expr("listagg(txn, ',') WITHIN GROUP (ORDER BY _pos)")
     first = F.struct(F.min("_pos").alias("at"), F.min_by("_prev", "_pos").alias("prev"))
     part = F.when(
-        F.col("first.at") > 0, F.concat(F.lit(',"start":'), _s(F.col("first.at")), F.lit(',"prev_ts":'), _s(F.col("first.prev")))
+        (F.col("first.at") > 0) & F.lit(places), F.concat(F.lit(',"start":'), _s(F.col("first.at")), F.lit(',"prev_ts":'), _s(F.col("first.prev")))
     ).otherwise("")
     lines = ev.groupBy("user_id", "_rec").agg(listed.alias("txns"), first.alias("first")).select(
         F.concat(
             F.lit('{"cert_sm3":"u'), _s(F.col("user_id")), F.lit('","label":'),
             F.when(F.col("user_id") % 5 == 0, "1").otherwise("0"), F.lit(',"trans":['), F.col("txns"), F.lit("]"), part, F.lit("}"),
-        ).alias("value")
+        ).alias("value"),
+        *([] if pieces is None else ["_rec"]),
     )
-    return lines.unionByName(spark.createDataFrame([(r,) for r in EDGE_RECORDS], "value string"))
+    return lines.unionByName(spark.createDataFrame([(r,) for r in EDGE_RECORDS], "value string"), allowMissingColumns=True)
 
 
 def record_folder(spark: SparkSession, sf: str) -> str:
