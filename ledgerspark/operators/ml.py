@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import materialize
+from . import boosting
 from .metrics import model_comparison, ranking_metrics
 from .ordered import HOT_ROWS
 from .steps import COLLECT_LABELS
@@ -88,11 +89,14 @@ MODEL_SETTINGS = {
 
 def three_model_comparison(
     df: DataFrame, features: list[str], vector: str = "embedding", label: str = "label", k: int = 64,
-    settings: dict | None = None,
+    settings: dict | None = None, trees: str = "gbt", key: str = "row_id",
 ) -> DataFrame:
     """Raw features against reduced vectors against both: a row per model with its metrics,
-    best flags and lift over the raw model. ``df`` holds aligned rows with a ``split``."""
-    settings = settings or MODEL_SETTINGS
+    best flags and lift over the raw model. ``df`` holds aligned rows with a ``split``.
+    ``trees="histogram"`` fits the trees of ``boosting``, with ``Settings`` per model."""
+    if trees not in ("gbt", "histogram"):
+        raise ValueError(f"unknown trees {trees!r}")
+    settings = settings or (MODEL_SETTINGS if trees == "gbt" else boosting.MODEL_SETTINGS)
     reduced, _, _ = pca_reduce(df, vector, k)
     encoded, order = ordinal_encode(reduced, features)
     encoded = materialize(encoded, "features")
@@ -102,8 +106,13 @@ def three_model_comparison(
         ("combined", f"Combined ({len(order)}+{k}d)", dict(features=order, vector="pca", k=k), len(order) + k),
     ]
     rows = []
-    for i, (key, title, how, dim) in enumerate(plans):
-        _, scored = train_classifier(assemble(encoded, **how), label=label, **settings[key])
+    for i, (model, title, how, dim) in enumerate(plans):
+        if trees == "gbt":
+            _, scored = train_classifier(assemble(encoded, **how), label=label, **settings[model])
+        else:
+            wide, names = boosting.vector_columns(encoded, "pca", k)
+            fitted = boosting.fit(wide, [*how["features"], *(names if "vector" in how else [])], label, key, settings[model])
+            scored = materialize(fitted.predict(wide.where(F.col("split") != "train")), "scored")
         m = {}
         for split in ("val", "test"):
             r = ranking_metrics(scored.where(F.col("split") == split), "p1", label).first()

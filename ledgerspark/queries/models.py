@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ml
+from ..operators import boosting, ml
 from ..operators.align import align
 from ..operators.metrics import ranking_metrics
 from ..operators.split import temporal_split_date
@@ -89,3 +89,47 @@ def three_model_comparison(spark, sf):
     raw = out.where("model = 'Raw features'").first()["test_auc"]
     adds = F.abs(F.col("auc_lift_pct") - (F.col("test_auc") - F.lit(raw)) / F.lit(raw) * 100) < 1e-6
     return out.select("model", "feature_dim", fine.cast("int").alias("in_range"), adds.cast("int").alias("lift_adds_up"))
+
+
+BOOST_FEATURES = ["Hour", "MCC", "Card", "Month"]
+BOOST_L1, BOOST_L2, BOOST_STEP = 0.5, 1.0, 0.3
+
+
+@query(with_("v_target", f"""
+, r AS (SELECT 0.5::DOUBLE - y AS g, 0.25::DOUBLE AS h, split_part("Time", ':', 1)::INT AS x0, "MCC" AS x1, "Card" AS x2, "Month" AS x3 FROM v_target WHERE split = 'train'),
+e AS (
+  SELECT 0 AS f, x0 AS x, g, h FROM r UNION ALL SELECT 1, x1, g, h FROM r UNION ALL SELECT 2, x2, g, h FROM r UNION ALL SELECT 3, x3, g, h FROM r),
+t AS (SELECT f, sum(g) AS gt, sum(h) AS ht, coalesce(sum(g) FILTER (x IS NULL), 0) AS gm, coalesce(sum(h) FILTER (x IS NULL), 0) AS hm FROM e GROUP BY f),
+b AS (SELECT f, x AS cut, sum(sum(g)) OVER w AS gk, sum(sum(h)) OVER w AS hk FROM e WHERE x IS NOT NULL GROUP BY f, x WINDOW w AS (PARTITION BY f ORDER BY x)),
+c AS (
+  SELECT f, cut, m AS missing_left, gt, ht, gk + m * gm AS gl, hk + m * hm AS hl FROM b JOIN t USING (f), (VALUES (0), (1)) AS s(m)
+  UNION ALL SELECT f, NULL, 1, gt, ht, gm, hm FROM t),
+d AS (
+  SELECT *, greatest(abs(gl) - {BOOST_L1}, 0) ** 2 / (hl + {BOOST_L2}) + greatest(abs(gt - gl) - {BOOST_L1}, 0) ** 2 / (ht - hl + {BOOST_L2})
+    - greatest(abs(gt) - {BOOST_L1}, 0) ** 2 / (ht + {BOOST_L2}) AS twice
+  FROM c WHERE hl >= 1 AND ht - hl >= 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY round(twice / 2, 9) DESC, cut NULLS FIRST, missing_left DESC) AS n FROM d WHERE round(twice / 2, 12) > 0)
+SELECT ['Hour', 'MCC', 'Card', 'Month'][f + 1] AS feature, cut::DOUBLE AS cut, missing_left = 1 AS missing_left, round((twice / 2)::DOUBLE, 6) AS gain,
+  round((-{BOOST_STEP} * sign(gl) * greatest(abs(gl) - {BOOST_L1}, 0) / (hl + {BOOST_L2}))::DOUBLE, 6) AS left_value,
+  round((-{BOOST_STEP} * sign(gt - gl) * greatest(abs(gt - gl) - {BOOST_L1}, 0) / (ht - hl + {BOOST_L2}))::DOUBLE, 6) AS right_value
+FROM k WHERE n = 1
+"""))
+def boosted_splits(spark, sf):
+    """The first split that every single feature offers: the tree's histograms and gains at the root. A null
+    cut parts missing values from the others."""
+    s, _ = temporal_split_date(views.card(spark, sf))
+    rows = s.where("split = 'train'").select(
+        F.split_part("Time", F.lit(":"), F.lit(1)).cast("int").alias("Hour"), "MCC", "Card", "Month", F.col("`Is Fraud?`").isin("Yes", "1").cast("int").alias("y")
+    )
+    values = rows.select(*[F.sort_array(F.collect_set(c)).alias(c) for c in BOOST_FEATURES]).first()  # a few codes each
+    cuts = [[float(x) for x in values[c]][1:] for c in BOOST_FEATURES]
+    settings = boosting.Settings(l1=BOOST_L1, l2=BOOST_L2, step=BOOST_STEP)
+    data = rows.select(F.lit(0).alias("_node"), boosting.bin_array(BOOST_FEATURES, cuts).alias("_bins"), (0.5 - F.col("y")).alias("_g"), F.lit(0.25).alias("_h"))
+    sums = boosting.histograms(data, list(range(len(BOOST_FEATURES))), [0]).withColumn("node", F.col("f"))
+    best = boosting.best_splits(sums, settings).where("gain IS NOT NULL")
+    value = lambda g, h: F.round(-settings.step * F.signum(g) * F.greatest(F.abs(g) - settings.l1, F.lit(0.0)) / (h + settings.l2), 6)
+    shown = F.array(*[F.array(*[F.lit(float(x)) for x in values[c]]) for c in BOOST_FEATURES])
+    return best.select(
+        F.get(F.lit(BOOST_FEATURES), F.col("node")).alias("feature"), F.when(F.col("cut") >= 0, F.get(F.get(shown, F.col("node")), F.col("cut"))).alias("cut"), "missing_left",
+        F.round("gain", 6).alias("gain"), value(F.col("gl"), F.col("hl")).alias("left_value"), value(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")).alias("right_value"),
+    )
