@@ -9,8 +9,8 @@ from ..operators.split import temporal_split_date, with_date
 from ..operators.metrics import evaluate, predictions, row_cross_entropy
 from ..operators.vectors import embedding_metadata
 from ..plans import card, jobs, ndjson
-from ..session import fresh_path
-from ..sources import readers, writers
+from ..session import fresh_path, materialize
+from ..sources import epochs, readers, writers
 from . import views
 from .features import stored_rows
 from .registry import query
@@ -172,6 +172,25 @@ def export_train_shards(spark, sf):
     )
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS b FROM orders),
+p AS (SELECT n, b, (n + b - 1) // b AS a FROM n),
+s AS (
+  SELECT o_orderkey, e AS epoch, x // b AS l, x % b AS r, 0 AS k
+  FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS x FROM orders), (VALUES (0), (1)) AS t(e), p
+  UNION ALL
+  SELECT o_orderkey, epoch, CASE WHEN k % 2 = 0 THEN (l + ('0x' || substr(md5('42:' || epoch || ':' || (k % 6) || ':' || r), 1, 8))::BIGINT % a) % a ELSE l END,
+    CASE WHEN k % 2 = 1 THEN (r + ('0x' || substr(md5('42:' || epoch || ':' || (k % 6) || ':' || l), 1, 8))::BIGINT % b) % b ELSE r END, k + 1
+  FROM s, p WHERE NOT (k > 0 AND k % 6 = 0 AND l * b + r < n))
+SELECT o_orderkey, epoch::INT AS epoch, ((l * b + r) % 3)::INT AS rank, ((l * b + r) // 3)::BIGINT AS position FROM s, p WHERE k > 0 AND k % 6 = 0 AND l * b + r < n
+""")
+def export_train_epochs(spark, sf):
+    """Rank and position of every order in two epochs of a seeded order over three ranks."""
+    rows = materialize(epochs.numbered(views.table(spark, sf, "orders").select("o_orderkey"), [F.col("o_orderkey")]), "numbered")
+    twice = rows.withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1))))
+    return epochs.epoch_slots(twice, rows.count(), F.col("epoch"), 3, hash="md5").drop("row_number")
+
+
 @query(with_("v_split", 'SELECT row_id, split FROM v_split'))
 def concat_splits(spark, sf):
     s, _ = temporal_split_date(views.card(spark, sf))
