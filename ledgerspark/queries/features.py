@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..functions.constants import CARD_FEATURES, CHIP_MAPPING, INDUSTRY_RANGES
-from ..operators import align, expand, history, ml, steps as S
+from ..operators import align, expand, history, ml, ranges, steps as S
 from ..operators.metrics import predictions, softmax_p1
 from ..operators.pairwise import pair_summary
 from ..operators.sampling import stratified_subsample
@@ -348,6 +348,20 @@ def lookup_range(spark, sf):
     return c.select("row_id", clean.range_label(F.col("mcc_int")).alias("industry"))
 
 
+@query("""
+WITH r AS (SELECT p_partkey * 37 % 50000 AS lo, p_partkey * 37 % 50000 + p_size * p_size - 20 AS hi, p_brand AS label, p_partkey * 7919 % 100003 AS seq FROM part),
+f AS (SELECT o_orderkey, arg_max(label, seq) AS label FROM orders JOIN r ON o_orderkey BETWEEN lo AND hi GROUP BY o_orderkey)
+SELECT o_orderkey, coalesce(label, 'NONE') AS label FROM orders LEFT JOIN f USING (o_orderkey)
+""")
+def lookup_range_table(spark, sf):
+    """Overlapping ranges, one for every part, of which the last holds; some hold nothing."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    lo = k * 37 % 50000
+    table = views.table(spark, sf, "part").select(lo.alias("lo"), (lo + size * size - 20).alias("hi"), F.col("p_brand").alias("label"), (k * 7919 % 100003).alias("seq"))
+    flat = ranges.flatten_ranges(table)
+    return ranges.lookup_ranges(views.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", flat, default="NONE")
+
+
 @query(with_("card_pre", f"SELECT row_id, {DISPLAY_CASE.format(c='mcc_int')} AS shown FROM card_pre"))
 def mcc_display_label(spark, sf):
     return card.clean_card(views.card(spark, sf)).select("row_id", clean.mcc_display(F.col("mcc_int")).alias("shown"))
