@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import BOS, EOS, PAD, SPECIAL_TOKENS, UNK
 from ..session import materialize
 from . import steps as S
+from .clusters import kmeans_edges
 from .ordered import HOT_ROWS, ordered_scan, quantiles
 
 
@@ -27,17 +28,7 @@ def fit_edges(df: DataFrame, column: str, bins: int, strategy: str = "quantile",
         r = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
         return linspace(r["lo"], r["hi"], bins)
     if strategy == "kmeans":
-        from pyspark.ml.clustering import KMeans
-        from pyspark.ml.feature import VectorAssembler
-
-        # Equal values are counted first; the iterations then run over weighted distinct values.
-        data = df.where(x.isNotNull()).groupBy(x.alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
-        data = materialize(data, "values")
-        r = data.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")).first()
-        vec = VectorAssembler(inputCols=["_x"], outputCol="features").transform(data)
-        model = KMeans(k=bins, seed=42, weightCol="_w").fit(vec)
-        c = sorted(float(v[0]) for v in model.clusterCenters())
-        return [r["lo"], *[(a + b) / 2 for a, b in zip(c, c[1:])], r["hi"]]
+        return kmeans_edges(df, column, bins)[0]
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import corpus, expand, metrics, profile, split as sp, tokens as T
+from ..operators import clusters, corpus, expand, metrics, profile, split as sp, tokens as T
 from ..operators.pairwise import topk_negatives as hardest
 from ..operators.vectors import embedding_metadata as vector_metadata
 from ..plans import card, jobs, ndjson
@@ -137,6 +137,23 @@ def fit_bin_edges(spark, sf):
     return spark.createDataFrame([(i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(zip(q, u))], "i int, quantile double, uniform double")
 
 
+@query("""
+WITH v AS (SELECT p_size::DOUBLE AS x, count(*) AS w FROM part GROUP BY 1),
+p AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER u AS s0, sum(w * x) OVER u AS s1, sum(w * x * x) OVER u AS s2 FROM v WINDOW u AS (ORDER BY x)),
+q AS (SELECT i, s0, s1, s2 FROM p UNION ALL SELECT 0, 0, 0, 0),
+run AS (
+  SELECT a.i AS a, z.i AS z, (z.s2 - a.s2) - (z.s1 - a.s1) ** 2 / (z.s0 - a.s0) AS cost, (z.s1 - a.s1) / (z.s0 - a.s0) AS centre FROM q a JOIN q z ON z.i > a.i),
+best AS (
+  SELECT f.centre AS c1, m.centre AS c2, l.centre AS c3, f.cost + m.cost + l.cost AS cost
+  FROM run f JOIN run m ON m.a = f.z JOIN run l ON l.a = m.z WHERE f.a = 0 AND l.z = (SELECT max(i) FROM q) ORDER BY round(f.cost + m.cost + l.cost, 6), f.z, m.z LIMIT 1)
+SELECT 3::INT AS bins, round(cost::DOUBLE, 3) AS cost, round(((c1 + c2) / 2)::DOUBLE, 6) AS first_edge, round(((c2 + c3) / 2)::DOUBLE, 6) AS second_edge FROM best
+""")
+def fit_bin_edges_kmeans(spark, sf):
+    """The least cost of three clusters of sizes, over all pairs of borders in the SQL."""
+    edges, cost = clusters.kmeans_edges(views.table(spark, sf, "part"), "p_size", 3)
+    return spark.createDataFrame([(3, round(cost, 3), round(edges[1], 6), round(edges[2], 6))], "bins int, cost double, first_edge double, second_edge double")
+
+
 @query(with_("nd_all", " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", v AS label, (row_number() OVER (ORDER BY v = 'UNK', v) - 1)::INT AS local_idx FROM (SELECT DISTINCT {c} AS v FROM nd_all UNION SELECT 'UNK')"
     for c in ("merch_type", "txn_code", "card_level")
