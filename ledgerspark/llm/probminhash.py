@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import global_rank
 from ..session import materialize
 from .components import components
 from .texts import pieces
@@ -164,8 +165,9 @@ def _signed(docs: DataFrame, id: str, text: str) -> DataFrame:
                     ["doc", "h", "key", "bands", "sig"],
                 )
 
-    slim = docs.where(F.col(id).isNotNull()).select(F.col(id).cast("long"), F.xxhash64(text), text)
-    return slim.mapInArrow(run, "doc long, h long, key binary, bands array<long>, sig binary")
+    slim = docs.where(F.col(id).isNotNull()).select(id, F.xxhash64(text), text)
+    id_type = docs.schema[id].dataType.simpleString()
+    return slim.mapInArrow(run, f"doc {id_type}, h long, key binary, bands array<long>, sig binary")
 
 
 def _grouped(batches, keys: int):
@@ -188,8 +190,9 @@ def _pairs(rows: list[tuple]):
 
 
 def _coarse_links(reps: DataFrame, threshold: float) -> DataFrame:
-    """Links between texts that share a band and whose signatures call for a check: in each
+    """Links between nodes whose texts share a band and whose signatures call for a check: in each
     bucket as few as keep the connections."""
+    reps = reps.select(F.col("node").alias("doc"), "bands", "sig")
     spread = reps.where("bands IS NOT NULL").select("doc", F.explode("bands").alias("band"))
     sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("doc").alias("first")).where("n > 1")
     sizes = materialize(sizes.select(F.col("band").alias("_band"), "n", "first"), "bands")
@@ -217,13 +220,16 @@ def _coarse_links(reps: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").union(large).distinct()
 
 
-def _verified_links(docs: DataFrame, groups: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
-    """Links at or above ``threshold`` inside coarse groups, as few as keep the connections."""
+def _verified_links(docs: DataFrame, reps: DataFrame, groups: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
+    """Links of nodes at or above ``threshold`` inside coarse groups, as few as keep the connections."""
     groups = materialize(groups, "groups")
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(F.col("component").alias("_c"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = groups.join(sizes, F.col("component") == F.col("_c")).select("node", "component", "blocks")
     small = placed.count() <= BROADCAST_IDS
-    chosen = docs.select(F.col(id).cast("long").alias("doc"), F.col(text).alias("text")).join(F.broadcast(placed) if small else placed, F.col("doc") == F.col("node"))
+    placed = placed.join(reps.select("node", F.col("doc").alias("_doc"), F.col("h").alias("_h")), "node")
+    texts = docs.select(F.col(id).alias("_id"), F.col(text).alias("text"))
+    chosen = texts.join(F.broadcast(placed) if small else placed, (F.col("_id") == F.col("_doc")) & (F.xxhash64("text") == F.col("_h")))
+    chosen = chosen.select(F.col("node").alias("doc"), "text", "component", "blocks")
 
     def take(batches):
         for batch in batches:
@@ -269,17 +275,31 @@ def _verified_links(docs: DataFrame, groups: DataFrame, id: str, text: str, thre
     return dealt.mapInArrow(verify, "a long, b long")
 
 
+def _nodes(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """``texts`` with a number per text (``node``) that rises with (``doc``, ``key``), and whether that is
+    the id itself: it is for whole numbers of which none is the least id of two texts."""
+    whole = texts.schema["doc"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    if whole and texts.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return texts.withColumn("node", F.col("doc").cast("long")), True
+    return materialize(global_rank(texts, [F.col("doc"), F.col("key")], name="node"), "nodes"), False
+
+
 def _classes(docs: DataFrame, id: str, text: str, threshold: float) -> DataFrame:
-    """``id``, ``h`` (hash of the text), ``class_id``, ``n_copies`` of the rows with an id."""
+    """``id``, ``h`` (hash of the text), ``class_id``, ``n_copies``, ``head`` (the class keeps this id and text) of
+    the rows with an id."""
     signed = materialize(_signed(docs, id, text), "signed")
-    unique = signed.groupBy("key").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("n_copies"), F.first(F.struct("bands", "sig")).alias("s"))
-    reps = materialize(unique.select("key", "doc", "n_copies", "s.bands", "s.sig"), "texts")
-    # Texts with the same least id are one node; a text with a lesser id elsewhere is in that one's class.
+    unique = signed.groupBy("key").agg(F.min(F.struct("doc", "h")).alias("least"), F.count(F.lit(1)).alias("n_copies"), F.first(F.struct("bands", "sig")).alias("s"))
+    reps, plain = _nodes(materialize(unique.select("key", "least.*", "n_copies", "s.*"), "texts"))
     groups = components(_coarse_links(reps, threshold))
-    classes = components(_verified_links(docs, groups, id, text, threshold))
-    named = reps.select("key", "n_copies", F.col("doc").alias("_rep")).join(classes, F.col("_rep") == F.col("node"), "left")
-    named = named.select(F.col("key").alias("_key"), "n_copies", F.coalesce("component", "_rep").alias("class_id"))
-    return signed.select("doc", "h", "key").join(named, F.col("key") == F.col("_key")).select(F.col("doc").alias(id), "h", "class_id", "n_copies")
+    classes = components(_verified_links(docs, reps, groups, id, text, threshold)).withColumnRenamed("node", "_node")
+    named = reps.join(classes, F.col("node") == F.col("_node"), "left").withColumn("top", F.coalesce("component", "node"))
+    if plain:
+        named = named.withColumn("class_id", F.col("top"))
+    else:
+        named = named.join(reps.select(F.col("node").alias("top"), F.col("doc").alias("class_id")), "top")
+    named = named.select(F.col("key").alias("_key"), "n_copies", "class_id", F.when(F.col("top") == F.col("node"), F.struct("doc", "h")).alias("kept"))
+    own = F.struct("doc", "h").eqNullSafe(F.col("kept"))
+    return signed.select("doc", "h", "key").join(named, F.col("key") == F.col("_key")).select(F.col("doc").alias(id), "h", "class_id", "n_copies", own.alias("head"))
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -289,22 +309,23 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", thr
     ``threshold`` probability Jaccard similarity over five-word shingles, weighted by their
     counts; a text of fewer words is one shingle. Texts without words (null, empty, marks
     only) are alike only when equal. A null id takes no part and has a null class. Rows with the
-    same id and differing texts may be in different classes.
+    same id and differing texts may be in different classes, which then may have the same least id.
+    Ids may be of any ordered type.
     """
     out = _classes(docs, id, text, threshold).select(id, "class_id", "n_copies")
-    gone = docs.where(F.col(id).isNull()).select(F.col(id).cast("long").alias(id), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
+    gone = docs.where(F.col(id).isNull()).select(id, F.lit(None).cast(out.schema["class_id"].dataType).alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(gone)
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class, that of the least id; columns as they were. Of
-    several rows of the class with that id one stays; rows without an id all stay."""
+    """``docs`` with one row of each class, that of the least id; columns as they were. Among texts
+    of the class under that id the choice is fixed, and of equal rows one stays; rows without an id all stay."""
     classes = materialize(_classes(docs.select(id, text), id, text, threshold), "classes")
-    # The least id's row may be in another class with another text: only the text of this class counts.
-    ids = classes.groupBy(id).agg(F.min(F.when(F.col(id) == F.col("class_id"), F.col("h"))).alias("_h"), F.count(F.lit(1)).alias("n"))
-    heads = materialize(ids.where("_h IS NOT NULL").select(F.col(id).alias("_head"), "_h", "n"), "heads")
-    kept = docs.join(heads.where("n = 1"), F.col(id) == F.col("_head"), "left_semi")
+    heads = classes.where("head").groupBy(F.col(id).alias("_head"), F.col("h").alias("_h")).agg(F.count(F.lit(1)).alias("n"))
+    heads = materialize(heads, "heads")
+    same = (F.col(id) == F.col("_head")) & (F.xxhash64(text) == F.col("_h"))
+    kept = docs.join(heads.where("n = 1"), same, "left_semi")
     repeated = heads.where("n > 1")
     if not repeated.isEmpty():
-        kept = kept.unionByName(docs.join(repeated, (F.col(id) == F.col("_head")) & (F.xxhash64(text) == F.col("_h")), "left_semi").dropDuplicates([id]))
+        kept = kept.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates([id, text]))
     return kept.unionByName(docs.where(F.col(id).isNull()))

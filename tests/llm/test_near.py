@@ -63,23 +63,23 @@ def test_signatures_do_not_depend_on_the_batch():
 
 
 def brute_classes(rows):
-    docs = {}
-    for i, t in rows:
-        docs.setdefault(i, []).append(t)
-    up = {i: i for i in docs}
-
-    def find(i):
-        while up[i] != i:
-            i = up[i]
-        return i
-
-    flat = [(i, t, shingled(t)) for i, ts in docs.items() for t in ts]
-    for n, (i, s, a) in enumerate(flat):
-        for j, t, b in flat[:n]:
+    """The least id of the class of every (id, text); an id alone links nothing."""
+    flat = [(i, t, shingled(t)) for i, t in dict.fromkeys(rows)]
+    up = list(range(len(flat)))
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for n, (_, s, a) in enumerate(flat):
+        for m, (_, t, b) in enumerate(flat[:n]):
             if (plain_similarity(a, b) >= 0.8 - 1e-9) if a and b else (not a and not b and (s or "") == (t or "")):
-                x, y = find(i), find(j)
-                up[max(x, y)] = min(x, y)
-    return {i: find(i) for i in docs}
+                up[find(n)] = find(m)
+    least = {}
+    for n, (i, _, _) in enumerate(flat):
+        least[find(n)] = min(i, least.get(find(n), i))
+    return {(i, t): least[find(n)] for n, (i, t, _) in enumerate(flat)}
 
 
 @pytest.mark.parametrize("limits", [{}, {"BUCKET": 2, "BLOCK": 2, "BROADCAST_IDS": 0}])
@@ -98,7 +98,7 @@ def test_classes(spark, monkeypatch, limits):
     out = p.near_duplicates(docs).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in rows)
     want = brute_classes([(i, t) for i, t in rows if i is not None])
-    assert {r["doc_id"]: r["class_id"] for r in out if r["doc_id"] is not None} == want
+    assert Counter((r["doc_id"], r["class_id"]) for r in out if r["doc_id"] is not None) == Counter((i, want[i, t]) for i, t in rows if i is not None)
     assert all(r["class_id"] is None for r in out if r["doc_id"] is None)
     kept = p.keep_one(docs)
     assert kept.columns == docs.columns
@@ -114,6 +114,18 @@ def test_pairs_at_the_threshold_with_a_low_estimate(spark, seed):
     assert [r["class_id"] for r in out] == [1, 1]
 
 
+@pytest.mark.parametrize("kind, name", [("long", int), ("string", "id{}".format)])
+def test_unrelated_texts_of_one_id(spark, kind, name):
+    a, b, c = (prose(n, 60) for n in (50, 51, 52))
+    rows = [(name(i), t) for i, t in [(5, a), (5, b), (6, b), (7, c), (8, c + " end"), (5, a)]]
+    docs = spark.createDataFrame(rows, f"doc_id {kind}, text string").repartition(3)
+    want = brute_classes(rows)
+    got = p.near_duplicates(docs)
+    assert dict(got.dtypes)["class_id"] == dict(docs.dtypes)["doc_id"]
+    assert Counter((r["doc_id"], r["class_id"]) for r in got.collect()) == Counter((i, want[i, t]) for i, t in rows)
+    assert sorted(map(tuple, p.keep_one(docs).collect())) == sorted([(name(5), a), (name(5), b), (name(7), c)])
+
+
 def test_an_id_with_texts_of_two_classes(spark):
     a, b = prose(40, 60), prose(41, 60)
     docs = spark.createDataFrame([(2, a), (5, a), (5, b), (7, b)], "doc_id long, text string").repartition(3)
