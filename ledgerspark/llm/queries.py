@@ -100,7 +100,7 @@ def op5_near_duplicates(spark, sf):
 @query()
 def op4_suffix_arrays(spark, sf):
     out = substrings.remove_repeated(table(spark, sf, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
 @query(sql="""

@@ -74,6 +74,22 @@ def test_long_texts_are_taken_in_segments(monkeypatch):
     assert len({a + i for a, i in cover(whole)}) and sorted(a + i for _, a, n, *_ in zip(*whole) for i in range(n)) == sorted(a + i for _, a, n, *_ in zip(*parts) for i in range(n))
 
 
+def test_passages_are_found_by_length(spark):
+    """From 400 bytes on all of a passage that two foreign texts share, below nothing; clean texts stay whole."""
+    r = random.Random(12)
+    noise = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows, want = [(9999, noise(3000))], {9999: []}
+    for k, size in enumerate([300, 350, 399, 400, 401, 450, 600, 1000] * 3):
+        passage = noise(size)
+        for i in (2 * k, 2 * k + 1):
+            # The bytes beside a passage differ from copy to copy.
+            before, after = noise(r.randint(0, 900)) + "<>"[i % 2], "<>"[i % 2] + noise(r.randint(0, 900))
+            rows.append((i, before + passage + after))
+            want[i] = [(len(before), len(before) + size)] if size >= 400 else []
+    out = substrings.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {x["doc_id"]: [tuple(y) for y in x["spans"]] for x in out.collect()} == want
+
+
 def test_no_documents(spark):
     assert substrings.remove_repeated(no_docs(spark)).count() == 0
     assert chunks.remove_repeated_chunks(no_docs(spark)).count() == 0
