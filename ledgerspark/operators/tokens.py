@@ -343,7 +343,10 @@ class Tokens:
         df.coalesce(1).write.mode(mode).parquet(path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str) -> "Tokens":
+    def load(spark: SparkSession, path: str, classes: tuple[type, ...] = ()) -> "Tokens":
+        """``classes`` names step classes of the caller's own; a stored kind is one of them or
+        of the library's, and one that is neither raises."""
+        own = {c.__name__: c for c in classes}
         steps = []
         for r in spark.read.parquet(path).orderBy("pos").collect():  # one row per step
             d = json.loads(r["params"])
@@ -351,5 +354,8 @@ class Tokens:
             d = {k: as_tuple(v) for k, v in d.items()}
             if d.get("table_size"):
                 d["table"] = spark.read.parquet(f"{path.rstrip('/')}_labels/{r['pos']}")
-            steps.append(getattr(S, r["kind"])(**d))
+            kind = own.get(r["kind"]) or getattr(S, r["kind"], None)
+            if kind is None:
+                raise ValueError(f"no step class {r['kind']}: name it in classes")
+            steps.append(kind(**d))
         return Tokens(tuple(steps), True)

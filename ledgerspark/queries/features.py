@@ -13,7 +13,7 @@ from ..operators.sampling import stratified_subsample
 from ..operators.split import temporal_split_date, with_date
 from ..operators.vectors import frequency_encode, pool, user_pool
 from ..plans import card, ndjson
-from ..session import materialize
+from ..session import fresh_path, materialize
 from . import views
 from .registry import query
 from .sql import CARD_OFFSETS, CARD_STEPS, CAT_CASE, DISPLAY_CASE, bucket, log_bucket, with_
@@ -62,6 +62,28 @@ def validate_arity(spark, sf):
     return short.unionByName(kept).agg(F.count_if(F.col("short") == 1).alias("n_short"), F.count_if(F.col("short") == 0).alias("n_kept"))
 
 
+@query(with_("v_rows", """
+, t AS (SELECT *, CASE WHEN floor(unix_ts)::BIGINT % 2 = 0 THEN 'short' ELSE 'kept' END AS status FROM v_rows)
+SELECT status, count(*) AS n_counted, count(*) AS n_stored, sum(seq_order)::BIGINT AS places,
+  coalesce(sum(CASE WHEN status = 'kept' THEN replace(amount, ',', '')::BIGINT END), 0)::BIGINT AS amounts FROM t GROUP BY status
+UNION ALL SELECT 'empty', 1, 1, 0, 0
+"""))
+def validate_arity_routed(spark, sf):
+    """Good rows, rejects and counts of one pass: what was counted on the way, and what lies there."""
+    second = lambda t: F.floor(F.get(t, 9).cast("double"))
+    cut = views.records(spark, sf).withColumn(
+        "trans", F.transform("trans", lambda t: F.when(second(t) % 2 == 0, F.slice(t, 1, 12)).otherwise(t))
+    )
+    path = fresh_path(spark, "routed")
+    counts = expand.route_records(cut, path)
+    listed = F.create_map(*[x for s, n in counts.items() for x in (F.lit(s), F.lit(n).cast("bigint"))])
+    amount = F.regexp_replace("amount", ",", "").cast("bigint")
+    return spark.read.parquet(path).groupBy(F.col("status").cast("string").alias("status")).agg(
+        F.count(F.lit(1)).alias("n_stored"), F.coalesce(F.sum(F.col("seq_order").cast("bigint")), F.lit(0)).alias("places"),
+        F.coalesce(F.sum(amount), F.lit(0)).alias("amounts"),
+    ).withColumn("n_counted", listed[F.col("status")])
+
+
 @query(with_("v_rows", "SELECT user_id, seq_order, dow, period, 19::INT AS n_columns FROM v_rows"))
 def drop_time_cols(spark, sf):
     d = expand.expand_records(views.records(spark, sf), drop_time_columns=True)

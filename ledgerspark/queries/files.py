@@ -10,7 +10,7 @@ from ..operators.metrics import evaluate, predictions, row_cross_entropy
 from ..operators.vectors import embedding_metadata
 from ..plans import card, jobs, ndjson
 from ..session import fresh_path, materialize
-from ..sources import epochs, readers, writers
+from ..sources import epochs, readers, stages, writers
 from . import views
 from .features import stored_rows
 from .registry import query
@@ -159,6 +159,33 @@ def stage_skip_or_force(spark, sf):
     )
 
 
+@query(with_("v_split", """
+, late AS (SELECT count(*) FILTER (o % 3 = 0) AS third, count(*) FILTER (o % 5 = 0) AS fifth FROM (SELECT row_id AS o FROM v_split WHERE split = 'test'))
+SELECT 'first' AS run, 'dated,counts,picked' AS built, third AS n_rows FROM late UNION ALL SELECT 'again', '', third FROM late
+UNION ALL SELECT 'parameter', 'picked', fifth FROM late UNION ALL SELECT 'file', 'dated,counts,picked', 2 * fifth FROM late UNION ALL SELECT 'back', '', 2 * fifth FROM late
+"""))
+def stage_digests(spark, sf):
+    """What is built, and the rows of the last stage: at first, unchanged, with another parameter, with
+    one file more, and unchanged again."""
+    source, root = fresh_path(spark, "cards"), fresh_path(spark, "stages")
+    views.card(spark, sf).write.parquet(source)
+    cutoff = temporal_split_date(views.card(spark, sf))[1][1]
+
+    def run(every: int):
+        dated = stages.Stage("dated", lambda s, _, paths: with_date(s.read.parquet(*paths)).where(F.col("date").isNotNull()), [source], params={"cutoff": str(cutoff)})
+        counts = stages.Stage("counts", lambda s, p, _: p[0].groupBy("date").agg(F.count(F.lit(1)).alias("n")), parents=[dated])
+        picked = stages.Stage(
+            "picked", lambda s, p, _: p[0].where((F.col("row_id") % every == 0) & (F.col("date") >= F.lit(cutoff))).join(p[1], "date"), parents=[dated, counts], params={"every": every}
+        )
+        out, built = stages.run_stages(spark, picked, root)
+        return ",".join(built), out.count()
+
+    seen = [("first", *run(3)), ("again", *run(3)), ("parameter", *run(5))]
+    views.card(spark, sf).write.mode("append").parquet(source)
+    seen += [("file", *run(5)), ("back", *run(5))]
+    return spark.createDataFrame(seen, "run string, built string, n_rows bigint")
+
+
 @query(with_("v_txn", "SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, 1 AS max_shards_per_user, 3 AS n_shards FROM v_txn"))
 def export_train_shards(spark, sf):
     rows = expand.expand_records(views.records(spark, sf)).select("user_id", "seq_order", "unix_ts", "amount")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean
-from ..operators import clusters, corpus, expand, metrics, profile, split as sp, tokens as T
+from ..operators import clusters, corpus, expand, metrics, profile, sketches, split as sp, tokens as T
 from ..operators.pairwise import topk_negatives as hardest
 from ..operators.vectors import embedding_metadata as vector_metadata
 from ..plans import card, jobs, ndjson
+from ..session import fresh_path
+from ..sources import incremental
 from . import views
 from .features import rows, stored_rows
 from .registry import query
@@ -61,6 +63,34 @@ def dataset_summary(spark, sf):
     return profile.dataset_summary(views.card(spark, sf)).withColumn("pos_rate", F.round("pos_rate", 9))
 
 
+@query(with_("v_card", """
+, s AS (SELECT row_id % 4 = 3 AS late, * FROM v_card), d AS (SELECT 'first' AS refresh, * FROM s WHERE NOT late UNION ALL SELECT 'second', * FROM s)
+SELECT refresh, CASE refresh WHEN 'first' THEN 3 ELSE 5 END::BIGINT AS n_files, CASE refresh WHEN 'first' THEN 3 ELSE 2 END::BIGINT AS n_read, count(*) AS n_rows,
+  count(*) FILTER ("Is Fraud?" = 'Yes') AS n_pos, count("MCC") AS n_mcc, min("MCC")::DOUBLE AS least_mcc, max("MCC")::DOUBLE AS greatest_mcc, 1::INT AS users_within
+FROM d GROUP BY refresh
+"""))
+def dataset_summary_incremental(spark, sf):
+    """Counts of a folder after its first three files and after two more: the second refresh reads
+    the two alone. ``users_within``: the distinct users are right within four standard deviations."""
+    folder, store = fresh_path(spark, "arriving"), fresh_path(spark, "summaries")
+    rows = views.card(spark, sf).select("row_id", "User", "MCC", "Is Fraud?")
+    read = lambda paths: spark.read.schema(rows.schema).parquet(*paths)
+    kept = incremental.FileSummaries(
+        spark, folder, store, read, "*.parquet", ["MCC"], ["User"], F.col("`Is Fraud?`") == "Yes"
+    )
+    late, out = F.pmod("row_id", F.lit(4)) == 3, None
+    for name, part, files in (("first", ~late, 3), ("second", late, 2)):
+        rows.where(part).repartition(files).write.mode("append").parquet(folder)
+        n_read = len(kept.refresh())
+        r = kept.total().withColumn("users", sketches.distinct_of("User")).first()
+        exact = read([folder]).agg(F.count_distinct("User").alias("n")).first()["n"]
+        within = int(abs(r["users"] - exact) <= sketches.distinct_error() * exact)
+        row = [(name, r["n_files"], n_read, r["n_rows"], r["n_pos"], r["n_MCC"], r["min_MCC"], r["max_MCC"], within)]
+        one = spark.createDataFrame(row, "refresh string, n_files bigint, n_read bigint, n_rows bigint, n_pos bigint, n_mcc bigint, least_mcc double, greatest_mcc double, users_within int")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query(with_("v_txn", """
 SELECT count(*) AS n_rows, count(DISTINCT user_id) AS n_users, count(*) FILTER (label = 1) AS n_pos, round(count(*) FILTER (label = 1) / count(*), 9) AS pos_rate FROM v_txn
 """))
@@ -137,6 +167,29 @@ def fit_bin_edges(spark, sf):
     return spark.createDataFrame([(i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(zip(q, u))], "i int, quantile double, uniform double")
 
 
+@query(with_("card_clean", """
+, e AS (SELECT count(amt_num) AS n, min(amt_num) AS lo, max(amt_num) AS hi, count(DISTINCT ts::DATE) + max((ts IS NULL)::INT) AS days FROM card_clean)
+SELECT i::INT AS i, n AS n_values, days::BIGINT AS n_parts, CASE i WHEN 0 THEN lo WHEN 10 THEN hi END AS extreme, 1::INT AS rank_within FROM e, range(11) t(i)
+"""))
+def fit_bin_edges_sketched(spark, sf):
+    """Edges of ten bins from one stored sketch a day, the days of the second half added later. The
+    extremes are exact; ``rank_within``: an edge's rank among all values is right within the bound."""
+    c = card.clean_card(views.card(spark, sf)).withColumn("day", F.to_date(F.timestamp_seconds("time_s")))
+    path = fresh_path(spark, "days")
+    late = F.coalesce(F.month("day") > 6, F.lit(True))
+    for part in (~late, late):
+        sketches.part_summaries(c.where(part), ["day"], ["amt_num"]).write.mode("append").parquet(path)
+    parts = spark.read.parquet(path)
+    edges = sketches.edges_from_summaries(parts, "amt_num", 10)
+    m = sketches.merge_summaries(parts.withColumn("n_parts", F.lit(1).cast("bigint")).drop("day")).first()
+    v = F.col("amt_num")
+    ranks = c.agg(*[f(v, e).alias(f"{n}{i}") for i, e in enumerate(edges) for n, f in (("b", lambda v, e: F.count_if(v < e)), ("t", lambda v, e: F.count_if(v <= e)))]).first()
+    n, slack = m["n_amt_num"], sketches.rank_error() * m["n_amt_num"]
+    fine = [int(ranks[f"b{i}"] - slack <= n * i / 10 <= ranks[f"t{i}"] + slack) for i in range(11)]
+    rows = [(i, n, m["n_parts"], edges[i] if i in (0, 10) else None, fine[i]) for i in range(11)]
+    return spark.createDataFrame(rows, "i int, n_values bigint, n_parts bigint, extreme double, rank_within int")
+
+
 @query("""
 WITH v AS (SELECT p_size::DOUBLE AS x, count(*) AS w FROM part GROUP BY 1),
 p AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER u AS s0, sum(w * x) OVER u AS s1, sum(w * x * x) OVER u AS s2 FROM v WINDOW u AS (ORDER BY x)),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, expand, steps as S
+from ..operators import batches, corpus, expand, steps as S
 from ..operators.tokens import Tokens
 from ..operators.vectors import embed_sequences, one_hot_states
 from ..plans import card, jobs, ndjson
@@ -292,6 +292,24 @@ def pad_history(spark, sf):
     )
 
 
+BATCH_STEPS, BATCH_LONGEST = 4096, 512
+
+
+@query(with_("v_rows", f"""
+, u AS (SELECT user_id, least(count(*), {BATCH_LONGEST})::INT AS lens_in FROM v_rows GROUP BY user_id),
+w AS (SELECT *, list_filter({batches.widths(BATCH_LONGEST)}, lambda x: x >= lens_in)[1]::INT AS width FROM u),
+p AS (SELECT *, row_number() OVER (PARTITION BY width ORDER BY md5('42:0:' || user_id), user_id) - 1 AS pos, {BATCH_STEPS} // width AS cap FROM w)
+SELECT user_id, lens_in, width, (pos // cap)::BIGINT AS batch, (pos % cap)::INT AS place, count(*) OVER b AS n, max(lens_in) OVER b AS pad_to,
+  md5('42:0:' || width || ':' || (pos // cap)::BIGINT) AS batch_key FROM p WINDOW b AS (PARTITION BY width, pos // cap)
+"""))
+def pad_history_batches(spark, sf):
+    """Batch and place of every user's history of up to 512 steps, 4,096 padded steps a batch."""
+    lengths = stored_rows(spark, sf).groupBy("user_id").agg(F.least(F.count(F.lit(1)), F.lit(BATCH_LONGEST)).cast("int").alias("lens_in"))
+    dealt = batches.assign_batches(lengths, "user_id", "lens_in", BATCH_STEPS, BATCH_LONGEST, hash="md5")
+    out = batches.gather_batches(dealt, ["user_id", "lens_in"])
+    return out.select("batch_key", "width", "batch", "n", "pad_to", F.inline("rows"))
+
+
 # -- vectors from ids ------------------------------------------------------------------------------------
 
 
@@ -306,21 +324,22 @@ def embed_sequences_(spark, sf):
     return e.select("row_id", F.array_join(shown, " ").alias("embedding"))
 
 
-@query(with_("v_split", """
+@query(with_("v_split split_idx", f"""
 , pool AS (SELECT row_id, split, ("Is Fraud?" IN ('Yes', '1'))::INT AS y FROM v_split),
 q AS (SELECT least(sum(y), 100) AS p, sum(1 - y) AS n FROM pool WHERE split = 'train'),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42:' || row_id)) AS r FROM pool WHERE split = 'train'),
 kept AS (SELECT row_id, split, y FROM ranked, q WHERE r <= CASE WHEN y = 1 THEN p ELSE least(n, 1000 - p) END
   UNION ALL SELECT row_id, split, y FROM pool WHERE split <> 'train')
-SELECT row_id, split, y AS label, 16 AS dim, 1.0::DOUBLE AS total FROM kept
+SELECT kept.row_id, kept.split, y AS label, 16 AS dim, (list_last([1, {CARD_IDS}, 2]) % 16)::INT AS set_entry FROM kept JOIN split_idx USING (row_id)
 """))
 def embed_all_splits(spark, sf):
     from ..operators.split import temporal_split_date
 
     s, _ = temporal_split_date(views.card(spark, sf))
     e = jobs.embed_splits(s, "card", load_model=one_hot_states(16), balanced_total=1000, hash="md5")
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return e.select("row_id", "split", "label", F.size("embedding").alias("dim"), total.alias("total"))
+    # The one entry that is set tells the token whose state was taken: the last one, <eos>.
+    at = (F.array_position("embedding", F.lit(1.0).cast("float")) - 1).cast("int")
+    return e.select("row_id", "split", "label", F.size("embedding").alias("dim"), at.alias("set_entry"))
 
 
 @query(with_("nd_tok", """
