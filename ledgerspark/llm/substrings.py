@@ -3,10 +3,12 @@
 Every string of the given length belongs to the stretch of its least 16-byte gram, so equal
 strings, wherever they stand, lie in stretches with the same gram (their anchor). Stretches
 whose anchor stands once in the whole corpus hold no repeated string and are left there. Of
-the others, equal ones are counted together, and the different stretches of an anchor meet in
-one shard, a few megabytes of text, which gets a suffix array by induced sorting and its
-permuted common prefixes: a string is repeated where a prefix shared with a neighbour is as
-long as the string, or where its whole stretch occurs again. An anchor with very many different
+the others, equal ones are counted together by a digest of their bytes. A string reaches at
+least half of its other bytes to the left of its anchor or to the right, so two different
+stretches share one only if they agree on a whole side; those that agree with another meet, with
+all such stretches of their anchor, in one shard, half a megabyte of text, which gets a suffix array
+by induced sorting and its permuted common prefixes: a string is repeated where a prefix shared
+with a neighbour is as long as the string, or where its whole stretch occurs again. An anchor with very many different
 stretches would fill a task; its strings are counted by their digests instead, which combine
 before the shuffle.
 """
@@ -46,13 +48,17 @@ def _window_least(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _digest(sums, down, start, end) -> np.ndarray:
-    return mix((sums[end] - sums[start]) * down[start] + mix((end - start).astype(np.uint64)))
+def _side(sums, down, lo, hi, first, end) -> np.ndarray:
+    """Hash of bytes lo..hi-1; 0 where they reach beyond the stretch. Equal bytes have equal
+    hashes; others may, which costs a comparison and changes no result."""
+    inside = (lo >= first) & (hi <= end)
+    lo, hi = np.where(inside, lo, 0), np.where(inside, hi, 0)
+    return np.where(inside, mix((sums[hi] - sums[lo]) * down[lo]) | np.uint64(1), np.uint64(0))
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(text number, first start, number of starts, anchor, digest) of every stretch."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """(text number, first start, number of starts, anchor, left side, right side) of every stretch."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
     if len(data) < length:
         return none
     if len(data) > SEGMENT + length:
@@ -82,28 +88,35 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     last[:-1] &= ~good[1:] | first[1:]
     n = np.flatnonzero(last) + 1 - start
     doc = np.searchsorted(offsets, start, "right") - 1
-    return doc, start - offsets[doc], n, gram[least[start]], _digest(sums, down, start, start + n + length - 1)
+    # A string's bytes beside its anchor: on one side of it lie at least half of them.
+    place, end, reach = least[start], start + n + length - 1, (length - GRAM + 1) // 2
+    left = _side(sums, down, place - reach, place + GRAM, start, end)
+    right = _side(sums, down, place, place + GRAM + reach, start, end)
+    return doc, start - offsets[doc], n, gram[place], left, right
 
 
 def _found(docs: DataFrame, id: str, text: str, length: int) -> DataFrame:
-    """``doc``, ``h`` (hash of the text), ``start``, ``n``, ``anchor``, ``digest`` of every stretch."""
+    """``doc``, ``h`` (hash of the text), ``start``, ``n``, ``anchor``, ``digest`` (128 bits, of its
+    bytes), ``left``, ``right`` of every stretch."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, offsets in pieces(batch.column(2)):
-                doc, start, n, anchor, digest = stretches(data, offsets, length)
-                pick = pa.array(doc)
+                doc, start, n, anchor, left, right = stretches(data, offsets, length)
+                pick, whole = pa.array(doc), memoryview(data)
+                at = offsets[doc] + start
+                digest = [hashlib.blake2b(whole[a:b], digest_size=16).digest() for a, b in zip(at.tolist(), (at + n + length - 1).tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[batch.column(k).slice(lo, hi - lo).take(pick) for k in (0, 1)], pa.array(start, pa.int64()), pa.array(n.astype(np.int32)),
-                        pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)),
+                        pa.array(anchor.view(np.int64)), pa.array(digest, pa.binary()), pa.array(left.view(np.int64)), pa.array(right.view(np.int64)),
                     ],
-                    ["doc", "h", "start", "n", "anchor", "digest"],
+                    ["doc", "h", "start", "n", "anchor", "digest", "left", "right"],
                 )
 
     id_type = docs.schema[id].dataType.simpleString()
     slim = docs.select(F.col(id).alias("doc"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    return slim.mapInArrow(run, f"doc {id_type}, h long, start long, n int, anchor long, digest long")
+    return slim.mapInArrow(run, f"doc {id_type}, h long, start long, n int, anchor long, digest binary, left long, right long")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, id: str, text: str, how: str) -> DataFrame:
@@ -114,6 +127,18 @@ def _with_lists(docs: DataFrame, lists: DataFrame, id: str, text: str, how: str)
     return slim.join(side, (F.col("h") == F.col("_h")) & F.col("doc").eqNullSafe(F.col("_doc")), how).drop("_doc", "_h")
 
 
+def _meeting(different: DataFrame) -> DataFrame:
+    """``different`` with ``meets``: another stretch has a side of the stretch, so that the two
+    may share a string. Sides that stand once are left out before the joins."""
+    sides = different.select(F.explode(F.array(F.struct(F.lit("l").alias("k"), F.col("left").alias("s")), F.struct(F.lit("r").alias("k"), F.col("right").alias("s")))).alias("x"))
+    # Stored, so that a very frequent side is split by the joins.
+    often = materialize(sides.select("x.*").where("s <> 0").groupBy("k", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "sides")
+    out = different
+    for k, c in (("l", "left"), ("r", "right")):
+        out = out.join(often.where(F.col("k") == k).select(F.col("s").alias(f"_{k}")), F.col(c) == F.col(f"_{k}"), "left")
+    return out.withColumn("meets", F.col("_l").isNotNull() | F.col("_r").isNotNull()).drop("_l", "_r", "left", "right")
+
+
 def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length: int) -> DataFrame:
     """``anchor``, ``digest``, ``w``, ``n`` and the bytes of every wanted stretch."""
     lists = wanted.groupBy("doc", "h").agg(F.collect_list(F.struct("anchor", "digest", "w", "start", "n")).alias("parts"))
@@ -130,7 +155,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length: int)
                 cut = [bytes(data[a : a + k + length - 1]) for a, k in zip(start.tolist(), n.tolist())]
                 yield pa.RecordBatch.from_arrays([p[0], p[1], p[2], p[4], pa.array(cut, pa.binary())], ["anchor", "digest", "w", "n", "bytes"])
 
-    return joined.mapInArrow(run, "anchor long, digest long, w long, n int, bytes binary")
+    return joined.mapInArrow(run, "anchor long, digest binary, w long, n int, bytes binary")
 
 
 def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
@@ -169,7 +194,7 @@ def _by_array(texts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
         rows = [(a, d, _runs(np.arange(n) if w > 1 else x)) for (a, d, w, n, _), x in zip(held, again)]
         rows = [r for r in rows if r[2]]
         cols = list(zip(*rows)) or [(), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), _RUN))], ["anchor", "digest", "runs"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), _RUN))], ["anchor", "digest", "runs"])
 
     def run(batches):
         held, size, now = [], 0, None
@@ -186,7 +211,7 @@ def _by_array(texts: DataFrame, length: int, shard_bytes: int) -> DataFrame:
             yield solve(held)
 
     dealt = texts.repartition("anchor").sortWithinPartitions("anchor", "digest")
-    return dealt.mapInArrow(run, "anchor long, digest long, runs array<struct<start: long, n: long>>")
+    return dealt.mapInArrow(run, "anchor long, digest binary, runs array<struct<start: long, n: long>>")
 
 
 def _by_digest(texts: DataFrame, length: int) -> DataFrame:
@@ -198,7 +223,7 @@ def _by_digest(texts: DataFrame, length: int) -> DataFrame:
                 keys = [hashlib.blake2b(t[i : i + length], digest_size=16).digest() for i in range(n)]
                 yield pa.RecordBatch.from_arrays([pa.array([a] * n), pa.array([d] * n), pa.array([w] * n), pa.array(range(n), pa.int64()), pa.array(keys)], ["anchor", "digest", "w", "i", "key"])
 
-    each = materialize(texts.select("anchor", "digest", "w", "n", "bytes").mapInArrow(run, "anchor long, digest long, w long, i long, key binary"), "strings")
+    each = materialize(texts.select("anchor", "digest", "w", "n", "bytes").mapInArrow(run, "anchor long, digest binary, w long, i long, key binary"), "strings")
     again = each.groupBy("key").agg(F.sum("w").alias("_w")).where("_w > 1").select(F.col("key").alias("_key"))
     hit = each.join(again, F.col("key") == F.col("_key"))
     return hit.groupBy("anchor", "digest").agg(F.collect_list(F.struct(F.col("i").alias("start"), F.lit(1).cast("long").alias("n"))).alias("runs"))
@@ -214,11 +239,11 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     # Stored, so that both sides of the join are plain shuffles, whose large keys Spark can split.
     anchors = materialize(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("anchor").alias("_a")), "anchors")
     shared = materialize(found.join(anchors, F.col("anchor") == F.col("_a")).select(*found.columns), "shared")
-    place = F.min(F.struct("doc", "h", "start", "n")).alias("p")
+    place = F.min(F.struct("doc", "h", "start", "n", "left", "right")).alias("p")
     different = materialize(shared.groupBy("anchor", "digest").agg(F.count(F.lit(1)).alias("w"), place).select("anchor", "digest", "w", "p.*"), "different")
-    per_anchor = materialize(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select(F.col("anchor").alias("_a"), "k"), "counts")
-    counted = different.join(per_anchor, F.col("anchor") == F.col("_a"))
-    texts = _texts(docs, counted.drop("_a"), id, text, length)
+    meeting = materialize(_meeting(different), "meeting")
+    per_anchor = materialize(meeting.where("meets").groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).select(F.col("anchor").alias("_a"), "k"), "counts")
+    texts = _texts(docs, meeting.where("meets").drop("meets"), id, text, length)
     busy = per_anchor.where(F.col("k") > hot).select("_a")
     if busy.isEmpty():
         solved = _by_array(texts, length, shard_bytes)
@@ -226,6 +251,9 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         texts = materialize(texts, "texts")
         solved = _by_array(texts.join(busy, F.col("anchor") == F.col("_a"), "left_anti"), length, shard_bytes)
         solved = solved.union(_by_digest(texts.join(busy, F.col("anchor") == F.col("_a"), "left_semi").dropDuplicates(["anchor", "digest"]), length))
+    # A stretch that occurs again and meets no other is repeated whole.
+    all_of_it = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("n")))
+    solved = solved.unionByName(meeting.where("w > 1 AND NOT meets").select("anchor", "digest", all_of_it.alias("runs")))
     solved = solved.withColumnsRenamed({"anchor": "_a", "digest": "_d"})
     back = shared.join(solved, (F.col("anchor") == F.col("_a")) & (F.col("digest") == F.col("_d")))
     moved = F.transform("runs", lambda r: F.struct((r["start"] + F.col("start")).alias("start"), r["n"].alias("n")))
