@@ -129,14 +129,16 @@ def _with_lists(docs: DataFrame, lists: DataFrame, id: str, text: str, how: str)
 
 def _meeting(different: DataFrame) -> DataFrame:
     """``different`` with ``meets``: another stretch has a side of the stretch, so that the two
-    may share a string. Sides that stand once are left out before the joins."""
-    sides = different.select(F.explode(F.array(F.struct(F.lit("l").alias("k"), F.col("left").alias("s")), F.struct(F.lit("r").alias("k"), F.col("right").alias("s")))).alias("x"))
-    # Stored, so that a very frequent side is split by the joins.
-    often = materialize(sides.select("x.*").where("s <> 0").groupBy("k", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "sides")
-    out = different
-    for k, c in (("l", "left"), ("r", "right")):
-        out = out.join(often.where(F.col("k") == k).select(F.col("s").alias(f"_{k}")), F.col(c) == F.col(f"_{k}"), "left")
-    return out.withColumn("meets", F.col("_l").isNotNull() | F.col("_r").isNotNull()).drop("_l", "_r", "left", "right")
+    may share a string. The joins are by sides that stand more than once and by (anchor, digest),
+    which stands once; sides beyond the stretch (0) would share one key and take no part."""
+    side = lambda k, c: F.struct(F.lit(k).alias("k"), F.col(c).alias("s"))
+    sides = different.select("anchor", "digest", F.explode(F.array(side("l", "left"), side("r", "right"))).alias("x"))
+    # Stored, so that a very frequent side is split by the join.
+    sides = materialize(sides.select("anchor", "digest", "x.*").where("s <> 0"), "sides")
+    often = materialize(sides.groupBy("k", "s").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("k").alias("_k"), F.col("s").alias("_s")), "often")
+    met = sides.join(often, (F.col("k") == F.col("_k")) & (F.col("s") == F.col("_s"))).select(F.col("anchor").alias("_a"), F.col("digest").alias("_d")).distinct()
+    out = different.join(met, (F.col("anchor") == F.col("_a")) & (F.col("digest") == F.col("_d")), "left")
+    return out.withColumn("meets", F.col("_a").isNotNull()).drop("_a", "_d", "left", "right")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame, id: str, text: str, length: int) -> DataFrame:
