@@ -50,6 +50,7 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.path = path
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()

@@ -1,9 +1,15 @@
-"""Prefix token counts: the exact number of tokens of a text's prefixes, stored once.
-
-``prefix_counts`` keeps, for every prefix that ends a run between white space, its length
-in bytes and its number of tokens: count(prefix) = count(shorter prefix) + tokens(last run).
-Truncation and budget questions are then array look-ups (``tokens_within``,
-``longest_within``); a cut inside a run re-encodes that run's part alone (``count_at``).
+"""Prefix token counts: the exact number of tokens of every prefix of a text, stored once.
+
+``prefix_counts`` runs the prefix programme (``prefix_program``) over each text and keeps the
+prefixes at which the count changes, as lengths in bytes and tokens, and for every number of
+tokens the longest prefix within it. Counts may fall: a letter can close a word that is one
+token. Truncation and budget questions are then look-ups in these arrays, by bisection and by
+place; nothing is encoded again. A prefix ends between characters: a cut inside a character, or
+inside characters that the tokenizer's normalization joins, is the cut before them. White space
+at the end of a prefix adds no token.
+
+The programme knows tokenizers that cut at white space and then by ``pieces_bpe.PIECE``. For any
+other file only prefixes that end a run between white space are stored, counted by the library.
 """
 
 from __future__ import annotations
@@ -14,22 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .pieces_bpe import Encoder, encoder
+from .prefix_program import prefixes
 from .texts import strings
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 13, 32]] = True
-
 
-def prefix_table(enc: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Byte lengths of the stored prefixes and their token counts, both rising. White space
-    after the last run belongs to no prefix: it adds no token."""
-    runs = enc.runs(text)
-    if runs is not None:
-        space = _SPACE[np.frombuffer(text.encode(), np.uint8)]
-        last = ~space
-        last[:-1] &= space[1:]
-        sizes = np.fromiter(map(len, map(enc.__getitem__, runs)), np.int64, len(runs)) // 4
-        return np.flatnonzero(last) + 1, np.cumsum(sizes)
+def _ends_and_counts(enc: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
+    if enc.by_run:
+        return prefixes(enc).char_counts(text)
     done = enc.library.encode(text, add_special_tokens=False)
     total = len(done.ids)
     if not total:
@@ -42,11 +39,29 @@ def prefix_table(enc: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
     return size[ends[cut]], cut + 1
 
 
+def _changes(ends: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.diff(counts, prepend=0) != 0
+    return ends[new], counts[new]
+
+
+def prefix_table(enc: Encoder, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Byte lengths, rising, of the prefixes at which the count changes, and their counts."""
+    return _changes(*_ends_and_counts(enc, text))
+
+
+def budget_table(ends: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Bytes of the longest prefix of at most 0, 1, .. tokens, up to the whole text's."""
+    least = np.minimum.accumulate(counts[::-1])[::-1]  # of this prefix and all longer ones
+    total = int(counts[-1]) if len(counts) else 0
+    k = np.searchsorted(least, np.arange(total + 1), "right")
+    return np.append(0, ends)[k]
+
+
 def prefix_counts(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``id``, ``n_bytes``, ``n_tokens``, ``prefix_bytes``, ``prefix_tokens``.
+    """``id``, ``n_bytes``, ``n_tokens``, ``prefix_bytes``, ``prefix_tokens``, ``budget_bytes``.
 
     One row per row of ``docs``; other columns are not read. A null text counts as empty:
-    no bytes, no tokens, empty arrays. Repeated ids stay repeated. No tokens are added at
+    no bytes, no tokens, empty arrays (``budget_bytes``: one 0). Repeated ids stay repeated. No tokens are added at
     begin or end; strings of special tokens are read as the library does by default.
     """
     id_type = docs.schema[id].dataType
@@ -55,38 +70,52 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str
         enc = encoder(tokenizer)
         for batch in batches:
             for lo, hi, part in strings(batch.column(1)):
-                tables = [prefix_table(enc, t) for t in part]
-                at = np.cumsum([0, *[len(e) for e, _ in tables]]).astype(np.int32)
-                flat = lambda k: np.concatenate([t[k] for t in tables]).astype(np.int32)
-                counts = [int(c[-1]) if len(c) else 0 for _, c in tables]
+                counted = [_ends_and_counts(enc, t) for t in part]
+                changes = [_changes(*c) for c in counted]
+                budgets = [budget_table(*c) for c in counted]
+
+                def lists(arrays):
+                    at = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+                    return pa.ListArray.from_arrays(at, np.concatenate(arrays).astype(np.int32))
+
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo), pa.array([len(t.encode()) for t in part], pa.int64()),
-                        pa.array(counts, pa.int64()), pa.ListArray.from_arrays(at, flat(0)), pa.ListArray.from_arrays(at, flat(1)),
+                        pa.array([len(b) - 1 for b in budgets], pa.int64()),
+                        lists([e for e, _ in changes]), lists([c for _, c in changes]), lists(budgets),
                     ],
-                    [id, "n_bytes", "n_tokens", "prefix_bytes", "prefix_tokens"],
+                    [id, "n_bytes", "n_tokens", "prefix_bytes", "prefix_tokens", "budget_bytes"],
                 )
 
-    schema = f"`{id}` {id_type.simpleString()}, n_bytes long, n_tokens long, prefix_bytes array<int>, prefix_tokens array<int>"
+    schema = f"`{id}` {id_type.simpleString()}, n_bytes long, n_tokens long, prefix_bytes array<int>, prefix_tokens array<int>, budget_bytes array<int>"
     return docs.select(id, text).mapInArrow(run, schema)
 
 
+def _stored_until(values: str, limit: Column) -> Column:
+    """How many of the rising ``values`` are at most ``limit``: a bisection by halved steps."""
+    step = lambda n, k: n + F.pow(F.lit(2), k).cast("int")
+    taken = lambda n, k: (step(n, k) <= F.size(values)) & (F.try_element_at(values, step(n, k)) <= limit)
+    return F.reduce(F.sequence(F.lit(30), F.lit(0)), F.lit(0), lambda n, k: F.when(taken(n, k), step(n, k)).otherwise(n))
+
+
 def tokens_within(limit: Column | int) -> Column:
-    """Tokens of the longest stored prefix of at most ``limit`` bytes."""
-    n = F.size(F.filter("prefix_bytes", lambda b: b <= limit))
+    """Tokens of the prefix of ``limit`` bytes."""
+    n = _stored_until("prefix_bytes", F.lit(limit))
     return F.coalesce(F.try_element_at("prefix_tokens", F.nullif(n, F.lit(0))), F.lit(0)).cast("long")
 
 
 def longest_within(budget: Column | int) -> Column:
-    """Bytes of the longest stored prefix of at most ``budget`` tokens."""
-    n = F.size(F.filter("prefix_tokens", lambda c: c <= budget))
-    return F.coalesce(F.try_element_at("prefix_bytes", F.nullif(n, F.lit(0))), F.lit(0)).cast("long")
+    """Bytes of the longest prefix of at most ``budget`` tokens that does not end with white space."""
+    place = F.least(F.lit(budget), F.col("n_tokens")).cast("int") + 1
+    return F.coalesce(F.when(place > 0, F.try_element_at("budget_bytes", place)), F.lit(0)).cast("long")
 
 
 def count_at(enc: Encoder, text: str, prefix_bytes, prefix_tokens, cut: int) -> int:
-    """Exact tokens of the first ``cut`` bytes: a stored count plus the tokens of the run that
-    is cut. A character cut in its middle is left out."""
+    """Exact tokens of the first ``cut`` bytes: a stored count. Only for a tokenizer that the
+    programme does not know are the tokens of the run that is cut added."""
     k = int(np.searchsorted(prefix_bytes, cut, "right"))
     start, base = (int(prefix_bytes[k - 1]), int(prefix_tokens[k - 1])) if k else (0, 0)
+    if enc.by_run:
+        return base
     rest = text.encode("utf-8", "surrogatepass")[start:cut].decode(errors="ignore")
     return base + len(enc.encode(rest)) // 4

@@ -1,5 +1,6 @@
 """Prefix counts, token files and Elias-Fano sequences."""
 
+import functools
 import random
 import zlib
 from collections import Counter
@@ -17,10 +18,15 @@ from .helpers import awkward_docs, no_docs
 NAME = "word_bpe_49k.json"
 
 
-def library_ids(texts, path):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return Tokenizer.from_file(path)
+
+
+def library_ids(texts, path):
+    return [e.ids for e in library(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 @pytest.mark.parametrize("name", [NAME, "byte_bpe_50k.json"])
@@ -51,6 +57,59 @@ def test_prefix_counts_are_those_of_the_prefixes(spark):
     assert token_counts.prefix_counts(no_docs(spark), path).count() == 0
 
 
+def test_every_prefix_has_its_count():
+    """Each cut of odd texts, of runs without white space and of repetitive marks, against the library."""
+    path, r = tokenizer_path(NAME), random.Random(11)
+    enc = encoder(path)
+    chars = "ab cS'tVE1²ª.!?-\n\t\r«ßéİ日本  \u0085éŉ…’|<>Ⱥ\u3000\u3000\x1c"
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(0, 40))) for _ in range(150)]
+    texts += ["'re we're 's <|endoftext|>x<|startoftext|> ab<|endoftext<|endoftext|>", "=" * 60 + "-" * 40 + "''ve", "a" * 70]
+    texts += ["".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(300)), "".join(r.choice("abehilnorst") for _ in range(300))]
+    for t in texts:
+        ends, counts = token_counts.prefix_table(enc, t)
+        want = [len(i) for i in library_ids([t[:k] for k in range(len(t) + 1)], path)]
+        at = [len(t[:k].encode()) for k in range(len(t) + 1)]
+        assert [token_counts.count_at(enc, t, ends, counts, c) for c in at] == want, t
+        budget = token_counts.budget_table(*token_counts._ends_and_counts(enc, t))
+        cuts = [(c, n) for k, (c, n) in enumerate(zip(at, want)) if k == 0 or not t[k - 1].isspace() or t[k - 1] == "\x1c"]
+        assert budget.tolist() == [max(c for c, n in cuts if n <= b) for b in range(want[-1] + 1)], t
+
+
+def test_clusters_that_normalization_joins():
+    path = tokenizer_path(NAME)
+    enc, t = encoder(path), "xe\u0301te\u0301 \u1112\u1161\u11ab!"
+    ends, counts = token_counts.prefix_table(enc, t)
+    at = lambda k: token_counts.count_at(enc, t, ends, counts, len(t[:k].encode()))
+    for k in (1, 3, 4, 6, 7, 10, 11):
+        assert at(k) == len(library_ids([t[:k]], path)[0])
+    assert at(2) == at(1) and at(9) == at(7)
+
+
+def test_long_text_without_white_space():
+    path, r = tokenizer_path(NAME), random.Random(12)
+    for t in ("".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(20000)), "".join(r.choice("abehilnorst=") for _ in range(50000))):
+        ends, counts = token_counts.prefix_table(encoder(path), t)
+        for k in [1, 7, 2048, 9999, len(t) - 1, len(t)]:
+            assert token_counts.count_at(encoder(path), t, ends, counts, len(t[:k].encode())) == len(library_ids([t[:k]], path)[0])
+
+
+def test_lookups_in_columns_equal_the_library(spark):
+    path = tokenizer_path(NAME)
+    texts = ["Some words, and then 42 more it's", "日本語のテキスト" * 5, "", "  x", None]
+    want = {}
+    for i, t in enumerate(t or "" for t in texts):
+        counts = [len(x) for x in library_ids([t[:k] for k in range(len(t) + 1)], path)]
+        at = [len(t[:k].encode()) for k in range(len(t) + 1)]
+        for x in range(-1, 40):
+            within = [c for c, b in zip(counts, at) if b <= x]
+            fit = [b for k, (c, b) in enumerate(zip(counts, at)) if c <= x and not t[:k].endswith(" ")]
+            want[i, x] = (within[-1] if within else 0, max(fit, default=0))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = token_counts.prefix_counts(df, path).crossJoin(spark.range(-1, 40))
+    got = out.select("doc_id", "id", token_counts.tokens_within(F.col("id")).alias("t"), token_counts.longest_within(F.col("id")).alias("b")).collect()
+    assert {(r["doc_id"], r["id"]): (r["t"], r["b"]) for r in got} == want
+
+
 def test_truncation_and_budget(spark):
     df = spark.createDataFrame([(1, "one two three four"), (2, "")], "doc_id long, text string")
     out = token_counts.prefix_counts(df, tokenizer_path(NAME)).select("doc_id", token_counts.tokens_within(8).alias("t"), token_counts.longest_within(3).alias("b"), token_counts.longest_within(0).alias("z"))
