@@ -24,33 +24,10 @@ from .pieces_bpe import KEPT_RUNS, PIECE, PLAIN, Encoder
 _CLUSTER = regex.compile(r"\X")
 # Characters that may be white space; the tokenizer's own normalization decides.
 _BLANKS = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0                　"
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 13, 32]] = True
 _NEVER = sys.maxsize
 SHARED = 16  # letters of a piece's beginning whose state is remembered
 
 
-class Recent(dict):
-    """What was used lately: at ``size`` entries they become the old ones, and the old ones before
-    them go. Asking for an unknown key gives None."""
-
-    def __init__(self, size: int):
-        super().__init__()
-        self.size, self.old = size, {}
-
-    def __missing__(self, key):
-        out = self.old.get(key)
-        if out is not None:
-            self.keep(key, out)
-        return out
-
-    def keep(self, key, value) -> None:
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-
 class Merges:
     """The merges of a vocabulary, and which tokens may stand next to each other."""
 
@@ -63,9 +40,9 @@ class Merges:
             self.made.setdefault("".join(p), p)
         self.vocab = model["vocab"]
         self.spines: dict[tuple[str, bool], list[tuple[str, int]]] = {}
-        self.fit = Recent(2 * KEPT_RUNS)
+        self.fit: dict[tuple[str, str], bool] = {}
         self.sound: dict[str, bool] = {}
-        self.known = Recent(KEPT_RUNS // 2)
+        self.known: dict[str | None, tuple[str, int, int]] = {}
         sound = [t for t in self.vocab if self.is_sound(t)]
         self.open = set(sound) if not self.end else {t for t in sound if not t.endswith(self.end)}
         self.closing = {t.removesuffix(self.end): t for t in sound if t.endswith(self.end)}
@@ -118,28 +95,32 @@ class Merges:
         """Whether the sound token ``b`` may follow ``a``, or begin a piece."""
         if a is None:
             return True
-        out = self.fit[a, b]
+        out = self.fit.get((a, b))
         if out is None:
-            out = self.meet(a, b) is None
-            self.fit.keep((a, b), out)
+            if len(self.fit) > 4 * KEPT_RUNS:
+                self.fit.clear()
+            self.fit[a, b] = out = self.meet(a, b) is None
         return out
 
     def counts(self, letters: str) -> list[int]:
         """Tokens of ``letters[:1]``, ``letters[:2]``, .., each taken as a whole piece."""
-        n, known, state = len(letters), self.known, None
-        k = min(n, SHARED)
-        while k and (state := known[letters[:k]]) is None:
-            k -= 1
-        # Words share their beginnings: what a word began with is copied.
-        last, opened, whole = (state[0][: k + 1], state[1][: k + 1], state[2][:k]) if state else ([None], [0], [])
-        own = last, opened, whole
-        for i in range(k + 1, n + 1):
-            token, count, closed = self._step(letters, i, last, opened)
+        known, whole = self.known, []
+        last: list[str | None] = [None]
+        opened = [0]
+        for i in range(1, len(letters) + 1):
+            # Words share their beginnings; a long piece's are its own.
+            key = letters[:i] if i <= SHARED else None
+            state = known.get(key)
+            if state is None:
+                state = self._step(letters, i, last, opened)
+                if key is not None:
+                    if len(known) > 2 * KEPT_RUNS:
+                        known.clear()
+                    known[key] = state
+            token, count, closed = state
             last.append(token)
             opened.append(count)
             whole.append(closed)
-            if i <= SHARED and n <= 4 * SHARED:
-                known.keep(letters[:i], own)
         return whole
 
     def _step(self, letters: str, i: int, last: list, opened: list) -> tuple[str, int, int]:
@@ -163,8 +144,7 @@ class Prefixes(dict):
     def __init__(self, enc: Encoder, path: str):
         super().__init__()
         self.enc = enc
-        self.pieces = Recent(KEPT_RUNS // 2)
-        self.old: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
         with open(path, encoding="utf-8") as f:
             self.merges = Merges(json.load(f)["model"])
         self.norm = enc.library.normalizer.normalize_str
@@ -175,10 +155,11 @@ class Prefixes(dict):
 
     def _piece(self, piece: str) -> list[int]:
         """Tokens of a piece's prefixes by characters."""
-        out = self.pieces[piece]
+        out = self.pieces.get(piece)
         if out is None:
-            out = self._count_piece(piece)
-            self.pieces.keep(piece, out)
+            if len(self.pieces) > KEPT_RUNS:
+                self.pieces.clear()
+            self.pieces[piece] = out = self._count_piece(piece)
         return out
 
     def _count_piece(self, piece: str) -> list[int]:
@@ -208,24 +189,18 @@ class Prefixes(dict):
         return out
 
     def __missing__(self, run: str) -> bytes:
-        out = self.old.pop(run, None)
-        if out is None:
-            out = array("i", self._run_counts(run)).tobytes()
-        if len(self) >= KEPT_RUNS // 2:
-            self.old = dict(self)
+        if len(self) > KEPT_RUNS:
             self.clear()
-        self[run] = out
-        return out
-
-    def _run_counts(self, run: str) -> list[int]:
         if run.isalpha():
-            return self._piece(run)
-        # The pieces of a run leave nothing out.
-        counts, base = [], 0
-        for piece in PIECE.findall(run):
-            counts += [base + c for c in self._piece(piece)]
-            base = counts[-1]
-        return counts
+            counts = self._piece(run)
+        else:
+            # The pieces of a run leave nothing out.
+            counts, base = [], 0
+            for piece in PIECE.findall(run):
+                counts += [base + c for c in self._piece(piece)]
+                base = counts[-1]
+        self[run] = out = array("i", counts).tobytes()
+        return out
 
     def _ordinary(self, text: str) -> np.ndarray:
         """Counts of the prefixes of a text without white space and special strings. The tokenizer's
@@ -265,7 +240,7 @@ class Prefixes(dict):
         ends = np.append(first[1:], len(data))
         runs = self.enc.runs(text)
         if runs is not None:
-            inside = ~_SPACE[data[first]]
+            inside = ~np.isin(data[first], [9, 10, 13, 32])
             sizes = np.fromiter(map(len, runs), np.int64, len(runs))
             rel = np.frombuffer(b"".join(map(self.__getitem__, runs)), np.int32)
         else:
