@@ -52,3 +52,18 @@ def test_late_rows_are_kept_and_marked(spark):
 def test_expiry(spark, seconds, place):
     got = run(spark, [[row(1, 10.0, 1)], [row(1, 20.0, 2)]], expire_seconds=seconds)
     assert {r["id"]: (r["pos"], r["time_delta_s"]) for r in got.collect()} == {1: (0, 0.0), 2: (place, 10.0 * place)}
+
+
+def test_many_keys_share_few_states(spark):
+    """A Python group and a state per key made large tables too slow."""
+    folder, out, checkpoint = (fresh_path(spark, x) for x in "abc")
+    rows = spark.range(6000).select((F.col("id") % 2000).alias("who"), (F.col("id") % 2000 + F.floor(F.col("id") / 2000) * 5).cast("double").alias("at"), "id")
+    for k in range(2):
+        rows.where(F.floor(F.col("id") / 4000) == k).write.mode("append").parquet(folder)
+        stream = carry_gaps(spark.readStream.schema(rows.schema).parquet(folder), ["who"], "at", ["id"], buckets=16)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 16
+    got = spark.read.parquet(out)
+    wrong = (F.col("pos") != F.floor(F.col("id") / 2000)) | (F.col("time_delta_s") != F.when(F.col("id") < 2000, 0).otherwise(5)) | F.col("late")
+    assert got.count() == 6000 and got.where(wrong).count() == 0
