@@ -10,7 +10,7 @@ from ..operators.ordered import global_prefix_sum as prefix_sum
 from ..operators.ordered import global_rank as rank_all
 from ..operators.ordered import ordered_scan
 from ..plans import card, ndjson
-from ..session import fresh_path
+from ..session import fresh_path, materialize
 from ..streaming.tokens import continued_rows, stream_card_gaps, stream_records
 from . import views
 from .features import rows, stored_rows
@@ -46,7 +46,9 @@ def stream_time_delta_user(spark, sf):
     """Histories that arrive in pieces of 20 transactions without places, in three deliveries; each
     is read by a query that starts from the checkpoint of the one before."""
     rec = F.floor(F.col("_pos") / 20)
-    lines = views.record_lines(spark, sf, pieces=rec, places=False).withColumn("_at", F.least(F.coalesce("_rec", F.lit(0)), F.lit(DELIVERIES - 1)))
+    at = F.least(F.coalesce("_rec", F.lit(0)), F.lit(DELIVERIES - 1)).alias("_at")
+    # Stored: the records are built once, not for every delivery.
+    lines = materialize(views.record_lines(spark, sf, pieces=rec, places=False).select("value", at), "lines")
     folder, out, checkpoint = (fresh_path(spark, x) for x in ("pieces", "gaps", "offsets"))
     for k in range(DELIVERIES):
         lines.where(F.col("_at") == k).select("value").write.mode("append").text(folder)
