@@ -5,7 +5,8 @@ without keys puts the whole table there. ``ordered_scan`` first looks for keys
 above a row limit. Without any, it is one plain window (one shuffle). Otherwise the
 rows of the large keys are cut into ordered parts at sampled boundaries, every part
 is scanned on its own, and the few totals per part (rows, sums, last values) are
-carried into the following part by a join of one row per part. Results are
+carried into the following part by a join of one row per part. Without keys the parts
+are Spark's range partitions, stored, so a row costs no look at an array of boundaries. Results are
 the same either way: the boundaries only decide where the work is cut.
 """
 
@@ -22,6 +23,7 @@ from ..session import materialize
 HOT_ROWS = 1_000_000       # rows of one key that still count as one task's work
 SAMPLE_PER_PART = 20
 BROADCAST_PARTS = 65_536   # parts of all hot keys up to which boundaries are sent to every task
+TABLE_PARTS = 1024         # parts of a table without keys; more only where they would exceed HOT_ROWS
 
 
 @dataclass
@@ -70,15 +72,10 @@ def _cut_points(df: DataFrame, hot: HotKeys, order: Column, hot_rows: int) -> Da
     parts = F.greatest(F.lit(2), F.ceil(F.col("_n") / hot_rows)).cast("int").alias("_parts")
     hot_df = hot.side(hot.table.select(*named, parts), hot_rows)
     same = lambda other: _null_safe_all([(F.col(f"{other}{k}"), F.col(f"_h_{k}")) for k in hot.keys])
-    picked = df.select(*[F.col(k).alias(f"_s_{k}") for k in hot.keys], order.alias("_o"))
-    if hot.keys:
-        picked = picked.join(hot_df, same("_s_"), "left_semi")
+    picked = df.select(*[F.col(k).alias(f"_s_{k}") for k in hot.keys], order.alias("_o")).join(hot_df, same("_s_"), "left_semi")
     picked = picked.sample(fraction, seed=7) if fraction < 1 else picked
     seen = picked.groupBy(*[f"_s_{k}" for k in hot.keys]).agg(F.collect_list("_o").alias("_seen"))
-    if hot.keys:
-        flat = hot.table.select(*named, parts).join(seen, same("_s_"), "left")
-    else:
-        flat = seen.withColumn("_parts", F.lit(max(2, -(-hot.rows // hot_rows))))
+    flat = hot.table.select(*named, parts).join(seen, same("_s_"), "left")
     # Spark's own ordering decides what "sorted" means, so it matches the scan's.
     empty = F.array().cast(seen.schema["_seen"].dataType)
     flat = flat.withColumn("_seen", F.array_sort(F.coalesce("_seen", empty)))
@@ -111,6 +108,28 @@ def _locate(cuts: Column, key: Column) -> Column:
     return F.when(outer == 0, 0).otherwise((outer - 1) * block + inner)
 
 
+def _parts_of_keys(df: DataFrame, hot: HotKeys, order: Column, hot_rows: int) -> DataFrame:
+    """``df`` with ``_part`` by its hot key's boundaries (-1: the key is not hot) and the order as ``_o``."""
+    cuts = _cut_points(df, hot, order, hot_rows)
+    renamed = cuts.select(*[F.col(k).alias(f"_h_{k}") for k in hot.keys], "_cuts")
+    tagged = df.withColumn("_o", order)
+    # One row per hot key with a boundary for each part.
+    tagged = tagged.join(
+        hot.side(renamed, hot_rows), _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in hot.keys]), "left"
+    )
+    return tagged.withColumn(
+        "_part", F.when(F.col("_cuts").isNull(), -1).otherwise(_locate(F.col("_cuts"), F.col("_o")))
+    ).drop("_cuts", *[f"_h_{k}" for k in hot.keys])
+
+
+def _parts_of_table(df: DataFrame, rows: int, order: list[Column], hot_rows: int) -> DataFrame:
+    """``df`` with the range partition a row falls in (``_part``) and the order as ``_o``. Stored, as Spark
+    may draw the boundaries anew wherever the rows are computed again."""
+    parts = max(2, min(-(-rows // hot_rows), max(TABLE_PARTS, -(-rows // HOT_ROWS))))
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    return materialize(ranged, "parts").withColumn("_o", _order_struct(order))
+
+
 def ordered_scan(
     df: DataFrame,
     keys: list[str],
@@ -134,18 +153,8 @@ def ordered_scan(
     if not hot:
         return _scan_plain(df, keys, order, position, previous, sums)
 
-    o_struct = _order_struct(order)
-    cuts = _cut_points(df, hot, o_struct, hot_rows)
     out_cols = df.columns
-    renamed = cuts.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_cuts")
-    tagged = df.withColumn("_o", o_struct)
-    # One row per hot key with a boundary for each part.
-    tagged = tagged.join(
-        hot.side(renamed, hot_rows), _null_safe_all([(F.col(k), F.col(f"_h_{k}")) for k in keys]), "left"
-    )
-    tagged = tagged.withColumn(
-        "_part", F.when(F.col("_cuts").isNull(), -1).otherwise(_locate(F.col("_cuts"), F.col("_o")))
-    ).drop("_cuts", *[f"_h_{k}" for k in keys])
+    tagged = _parts_of_keys(df, hot, _order_struct(order), hot_rows) if keys else _parts_of_table(df, hot.rows, order, hot_rows)
 
     part_keys = [*keys, "_part"]
     carry = F.struct(*[F.col(c).alias(n) for n, c in previous.items()]) if previous else F.lit(0)

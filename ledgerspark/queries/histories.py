@@ -129,5 +129,5 @@ def global_rank(spark, sf):
 
 @query(with_("v_pred", "SELECT event_id, sum(amount) OVER (ORDER BY z1, event_id)::BIGINT AS running_amount FROM v_pred"))
 def global_prefix_sum(spark, sf):
-    p = views.predictions(spark, sf).withColumn("amount", F.col("amount").cast("bigint"))
+    p = views.predictions(spark, sf).select("event_id", "z1", F.col("amount").cast("bigint").alias("amount"))
     return prefix_sum(p, [F.col("z1"), F.col("event_id")], {"running_amount": "amount"}, hot_rows=2000).select("event_id", "running_amount")

@@ -68,6 +68,14 @@ def test_global_rank(skewed, hot_rows):
     assert [r["rank"] for r in want] == list(range(len(want)))
 
 
+def test_parts_of_a_table_take_no_boundaries_to_the_rows(skewed):
+    """An array of all boundaries beside every row grew with rows times parts."""
+    got = ordered.global_prefix_sum(skewed, [F.col("ts"), F.col("row_id")], {"sv": "v"}, hot_rows=3)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "_cuts" not in plan
+    assert {tuple(r) for r in got.select("row_id", "sv").collect()} == {tuple(r) for r in plain(skewed, []).select("row_id", "sv").collect()}
+
+
 @pytest.mark.parametrize("hot_rows", [10, 10**6])
 def test_quantiles_are_exact(spark, hot_rows):
     import numpy as np
