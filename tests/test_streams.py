@@ -67,3 +67,21 @@ def test_many_keys_share_few_states(spark):
     got = spark.read.parquet(out)
     wrong = (F.col("pos") != F.floor(F.col("id") / 2000)) | (F.col("time_delta_s") != F.when(F.col("id") < 2000, 0).otherwise(5)) | F.col("late")
     assert got.count() == 6000 and got.where(wrong).count() == 0
+
+
+def test_record_lines_are_built_once(spark, sf, monkeypatch):
+    """Every delivery used to build all records anew."""
+    from ledgerspark.queries import histories, views
+
+    built, real = spark.sparkContext.accumulator(0), views.record_lines
+
+    def counted(rec):
+        built.add(1)
+        return rec
+
+    def lines(*args, **kw):
+        return real(*args, **kw).withColumn("_rec", F.udf(counted, "long")("_rec"))
+
+    monkeypatch.setattr(views, "record_lines", lines)
+    histories.stream_time_delta_user(spark, sf)
+    assert built.value == real(spark, sf, pieces=F.floor(F.col("_pos") / 20), places=False).count()
